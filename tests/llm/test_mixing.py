@@ -33,8 +33,8 @@ def check(docs, got, block=16):
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 4 * block  # a block of rounding, a short last block an epoch
-       , (s, taken[s], want[s])
+        # a block of rounding, and a short last block in each epoch
+        assert abs(taken[s] - want[s]) <= 4 * block, (s, taken[s], want[s])
 
 
 def test_targets_and_taken(spark):
