@@ -52,7 +52,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte → node; the root is 0
+        self.child: dict[int, int] = {}  # node << 8 | byte → node; the root is 0
         self.token_at: dict[int, int] = {}
         self.inner: set[int] = set()
         n = 1
@@ -60,14 +60,16 @@ class Transducer:
             node = 0
             for byte in token:
                 self.inner.add(node)
-                key = node * 256 + byte
+                key = node << 8 | byte
                 nxt = self.child.get(key)
                 if nxt is None:
                     nxt = self.child[key] = n
                     n += 1
                 node = nxt
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.never = 1 << 31
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.reset()
 
@@ -92,6 +94,40 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: int, left: bool) -> list[tuple[bytes, int]]:
+        """The pieces that stand at one end of a token while it is merged, each with the rank that ends it."""
+        known = self.edges[left].get(token)
+        if known is None:
+            known, data = [], self.bytes_of[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], self.never), i) for i in range(len(parts) - 1))
+                if at == (0 if left else len(parts) - 2):
+                    known.append((parts[0 if left else -1], rank))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known.append((data, self.never))
+            self.edges[left][token] = known
+        return known
+
+    def meet(self, before: int, token: int) -> bool:
+        """Whether no merge crosses the border of two tokens: at no time do the pieces that face each other
+        there form a token of lower rank than what ends either of them (an equal rank goes to the left one)."""
+        a, b = self.edge(before, False), self.edge(token, True)
+        i = j = 0
+        get = self.ranks.get
+        while True:
+            p, p_end = a[i]
+            q, q_end = b[j]
+            rank = get(p + q)
+            if rank is not None and rank < p_end and rank <= q_end:
+                return False
+            if p_end <= q_end:
+                if p_end == self.never:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def fits(self, before: int, token: int) -> bool:
         if before < 0:
             known = self.alone.get(token)
@@ -99,10 +135,10 @@ class Transducer:
                 data = self.bytes_of[token]
                 known = self.alone[token] = self.merges(data) == [data]
             return known
-        known = self.pairs.get((before, token))
+        key = before << 32 | token
+        known = self.pairs.get(key)
         if known is None:
-            a, b = self.bytes_of[before], self.bytes_of[token]
-            known = self.pairs[before, token] = self.merges(a + b) == [a, b]
+            known = self.pairs[key] = self.meet(before, token)
             if len(self.pairs) > 4 * self.most_states:
                 self.pairs.clear()
         return known
@@ -110,24 +146,37 @@ class Transducer:
     def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         """Determinise one transition: what is emitted, and the next state."""
         live: list[tuple[int, tuple[int, ...], int]] = []
+        child, inner, token_at, pairs = self.child, self.inner, self.token_at, self.pairs
         for before, waiting, node in self.states[state]:
-            node = self.child.get(node * 256 + byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if node in self.inner:
+            if node in inner:
                 live.append((before, waiting, node))
-            token = self.token_at.get(node)
-            if token is not None and self.fits(-1, token):
+            token = token_at.get(node)
+            if token is not None:
                 last = waiting[-1] if waiting else before
-                if last < 0 or self.fits(last, token):
+                fit = True if last < 0 else pairs.get(last << 32 | token)
+                if fit is None:
+                    fit = self.fits(last, token)
+                if fit and self.fits(-1, token):
                     live.append((before, (*waiting, token), 0))
-        shared = 0
         first = live[0][1]
-        while all(len(w) > shared and w[shared] == first[shared] for _, w, _ in live) if len(first) > shared else False:
-            shared += 1
+        shared = len(first)
+        for _, w, _ in live:
+            n = 0
+            while n < shared and n < len(w) and w[n] == first[n]:
+                n += 1
+            shared = n
+            if not n:
+                break
         if shared:
-            live = [(first[shared - 1], w[shared:], node) for _, w, node in live]
-        key = tuple(sorted(live))
+            last = first[shared - 1]
+            live = [(last, w[shared:], node) for _, w, node in live]
+        if live[0][0] >= 0 and all(w for _, w, _ in live):  # the token before faces no open end: states merge without it
+            live = [(-1, w, node) for _, w, node in live]
+        live.sort()
+        key = tuple(live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
@@ -150,21 +199,25 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """piece → ids, filled by the transducer; bounded."""
+    """piece → ids, filled by the transducer; two generations, so that frequent pieces outlive a change."""
 
     def __init__(self, transducer: Transducer, most: int):
         super().__init__()
-        self.transducer, self.most = transducer, most
+        self.transducer, self.most, self.old = transducer, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        self[piece] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000):
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.pieces = _Pieces(self.transducer, most_pieces)
