@@ -77,14 +77,15 @@ def mix(
     seed: int = 20240606,
     bucket_rows: int = 2048,
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, pieces, taken for each document.
+    """doc_id, source, size, source_size, target, pieces, taken, and the columns to ``carry``, for each document.
 
     ``pieces`` are structs of shard, epoch, from_word and to_word (words of the document, end excluded) that
     the mix takes; ``taken`` is their total length.
     """
     spark = documents.sparkSession
-    sized = materialize(documents.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", n_words(text)).alias("h")), "mix-sizes")
+    sized = materialize(documents.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", n_words(text)).alias("h"), *carry), "mix-sizes")
     targets = materialize(source_targets(sized, weights, max_epochs), "mix-targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     block = F.lit(block_words).cast("long")
@@ -116,10 +117,28 @@ def mix(
     hit = F.filter("spans", lambda s: (s["lo"] < F.col("end")) & (s["hi"] > F.col("begin")))
     piece = lambda s: F.struct(s["shard"].alias("shard"), s["epoch"].alias("epoch"), (F.greatest(s["lo"], F.col("begin")) - F.col("begin")).alias("from_word"), (F.least(s["hi"], F.col("end")) - F.col("begin")).alias("to_word"))
     pieces = F.when((F.col("size") > 0) & F.col("spans").isNotNull(), F.transform(hit, piece)).otherwise(F.array().cast("array<struct<shard:int,epoch:int,from_word:bigint,to_word:bigint>>"))
-    out = wide.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"))
+    out = wide.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"), *carry)
     return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["to_word"] - p["from_word"]))
 
 
+def mixed_rows(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row of ``documents`` for each piece, with the piece's text and ``n_chars``, if there is such a column.
+
+    A piece that is the whole document keeps its text as it is; of a part, the words are joined by single blanks. Rows equal
+    in id and text get the same pieces.
+    """
+    keyed = documents.withColumn("__uid", F.xxhash64("doc_id", "text"))
+    chosen = mix(keyed, carry=["__uid"], **options).where(F.size("pieces") > 0).select("__uid", F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
+    joined = keyed.join(chosen.dropDuplicates(["__uid"]), "__uid").withColumn("__piece", F.explode("__pieces"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.slice(words, (F.col("__piece.from_word") + 1).cast("int"), (F.col("__piece.to_word") - F.col("__piece.from_word")).cast("int")), " ")
+    whole = (F.col("__piece.from_word") == 0) & (F.col("__piece.to_word") == F.col("__size"))
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*documents.columns)
+
+
 def op6_mixing(documents: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     return mix(documents).select("doc_id", "size", "source_size", "target", "taken")

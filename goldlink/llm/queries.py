@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldlink.llm import bpe, chat, hamming, licenses, mixing, near_text, near_vectors, sharding, suffix
+from goldlink.llm import bpe, chat, hamming, licenses, mixing, near_text, near_vectors, quality, sharding, suffix
 from goldlink.plans.workers import ship
 
 
@@ -15,6 +15,11 @@ def _over(table: str, operator):
     return query
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = ship(spark).read
+    return quality.op9_quality(read.parquet(f"{sf_dir}/documents.parquet"), read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_sharding": _over("documents", sharding.op1_sharding),
     "op2_chat": _over("conversations", chat.op2_chat),
@@ -24,6 +29,7 @@ QUERIES = {
     "op6_mixing": _over("documents", mixing.op6_mixing),
     "op7_near_duplicates": _over("documents", near_text.op7_near_duplicates),
     "op8_near_vectors": _over("embeddings", near_vectors.op8_near_vectors),
+    "op9_quality": op9_quality,
     "op10_hamming_top_k": _over("embeddings", hamming.op10_hamming_top_k),
 }
 

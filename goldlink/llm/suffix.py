@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldlink.llm.common import U64, mix64, prefix_hashes, ranges, runs, sorted_groups, span_hashes
 
@@ -105,7 +106,7 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(hashes ^ U64(0xABCDEF)) % U64(parts)).astype(np.int64)
 
 
-def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, rows of it, in order) for each part that has rows."""
     order = np.argsort(keys, kind="stable")
     cuts = runs(keys[order])
@@ -114,7 +115,7 @@ def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[order[lo]]), order[lo:hi]
 
 
-def _messages(rows: list[tuple], kinds: str = "") -> pa.RecordBatch:
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
     parts, kind, blobs = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
@@ -128,7 +129,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
     parts = max(64, math.ceil(total / part_bytes))
     uid = F.xxhash64("doc_id", "text")
     base = documents.withColumn("uid", uid).withColumn("part", F.pmod(F.col("uid"), F.lit(parts)))
-    texts = base.select("part", "uid", "doc_id", "text")
+    texts = base.select("part", "uid", "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest"))
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -138,7 +139,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             hashes, uids, places = (np.concatenate(x) for x in zip(*held, strict=True))
             to = _part(hashes, parts)
             short = (hashes & U64(0xFFFFFFFF)).astype(np.uint32)
-            return _messages([(p, 0, short[r].tobytes() + places[r].tobytes() + uids[r].tobytes()) for p, r in _split(to, parts)])
+            return _messages([(p, 0, short[r].tobytes() + places[r].tobytes() + uids[r].tobytes()) for p, r in _split(to)])
 
         for batch in batches:
             for key, value in zip(batch.column("uid"), batch.column("text"), strict=True):
@@ -170,7 +171,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             twice[order[:-1][same]] = True
             place, uid_ = place[twice], uid_[twice]
             if len(place):
-                yield _messages([(p, 1, place[r].tobytes() + uid_[r].tobytes()) for p, r in _split(uid_ % parts, parts)])
+                yield _messages([(p, 1, place[r].tobytes() + uid_[r].tobytes()) for p, r in _split(uid_ % parts)])
 
     def stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents of a part and the places of their recurring minimizers → stretches for the index, and answers."""
@@ -213,7 +214,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
         pack = zstandard.ZstdCompressor(level=1)
         if to:
             table = np.array(heads, dtype=np.int64)
-            for part, r in _split(np.array(to), parts):
+            for part, r in _split(np.array(to)):
                 out.append((part, 2, pack.compress(np.array([len(r)], dtype=np.int64).tobytes() + table[r].tobytes() + b"".join(bodies[j] for j in r.tolist()))))
         if done:
             table = np.array(done, dtype=np.int64)
@@ -256,7 +257,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
                 if hit.any():
                     own, keep = table[rows[hit], 1], again[np.repeat(hit, sizes)]
                     places = np.r_[0, np.cumsum(sizes[hit])]
-                    for part, r in _split(own % parts, parts):
+                    for part, r in _split(own % parts):
                         yield _messages([(part, 3, _pack_answers(own[r], table[rows[hit], 2][r], sizes[hit][r], keep[ranges(places[:-1][r], places[1:][r])]))])
                 lo = hi
 
@@ -280,8 +281,10 @@ def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, finish, schema: str) -> DataFrame:
+def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, finish, fields: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, the other columns as a struct ``rest``, and what ``finish`` makes of each text and its covered bytes."""
     texts, answers = _answers(documents, length, part_bytes, batch_strings)
+    types = {"bigint": pa.int64(), "string": pa.string()}
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         starts: dict[int, list[np.ndarray]] = {}
@@ -297,28 +300,21 @@ def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings:
                 if hi > lo:
                     starts.setdefault(int(owner[order[lo]]), []).append(place[order[lo:hi]])
         out = []
-        for doc, uid, value in zip(left.column("doc_id"), left.column("uid"), left.column("text"), strict=True):
+        for uid, value in zip(left.column("uid").to_pylist(), left.column("text"), strict=True):
             data = _bytes_of(value)
-            gone = _covered(len(data), np.concatenate(starts[uid.as_py()]), length) if uid.as_py() in starts else None
-            out.append((doc.as_py(), uid.as_py(), *finish(data, gone)))
-        return pa.table([pa.array(c) for c in zip(*out, strict=True)], names=shown) if out else empty.slice(0, 0)
-
-    shown = [c.split()[0] for c in schema.split(", ")]
-    types = {"bigint": pa.int64(), "string": pa.string()}
-    empty = pa.table({c.split()[0]: pa.array([], types[c.split()[1]]) for c in schema.split(", ")})
-    base_apply = apply
-
-    def typed(left: pa.Table, right: pa.Table) -> pa.Table:
-        return base_apply(left, right).cast(empty.schema)
+            out.append(finish(data, _covered(len(data), np.concatenate(starts[uid]), length) if uid in starts else None))
+        made = list(zip(*out, strict=True)) or [()] * len(fields)
+        return pa.table([left.column("doc_id"), left.column("rest"), *[pa.array(c, types[t]) for c, (_, t) in zip(made, fields, strict=True)]], names=["doc_id", "rest", *[name for name, _ in fields]])
 
-    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(typed, schema)
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["rest"], *[T.StructField(name, T.LongType() if t == "bigint" else T.StringType()) for name, t in fields]])
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
 
 
 def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 16 << 20, batch_strings: int = 1 << 18) -> DataFrame:
-    """doc_id, uid, text, n_bytes, n_removed, spans for each row (one result for rows equal in id and text).
+    """The rows of ``documents`` with what is left of their texts, and n_bytes, n_removed and spans (replacing such columns).
 
-    Text is cut at character boundaries: a character goes only if all its bytes are covered. ``spans`` lists the removed
-    byte runs as ``start-end`` (end excluded), comma-joined.
+    Text is cut at character boundaries: a character goes only if all its bytes are covered. ``spans`` lists the covered
+    byte runs as ``start-end`` (end excluded), comma-joined. A null text becomes an empty one.
     """
 
     def finish(data: np.ndarray, gone: np.ndarray | None):
@@ -329,10 +325,14 @@ def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 16
         whole = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.r_[lead, len(data)]))
         return data[~whole].tobytes().decode("utf-8", "replace"), len(data), int(gone.sum()), ",".join(f"{a}-{b}" for a, b in edges.reshape(-1, 2).tolist())
 
-    return _removal(documents, length, part_bytes, batch_strings, finish, "doc_id bigint, uid bigint, text string, n_bytes bigint, n_removed bigint, spans string")
+    made = ("n_bytes", "n_removed", "spans")
+    body = documents.drop(*made)
+    out = _removal(body, length, part_bytes, batch_strings, finish, [("text", "string"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("spans", "string")])
+    kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in body.columns]
+    return out.select(*kept, *made)
 
 
-def op3_suffix(documents: DataFrame, **options) -> DataFrame:
+def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 16 << 20, batch_strings: int = 1 << 18) -> DataFrame:
     """Digests of what is left of every document when repeated strings of 100 bytes are removed."""
 
     def finish(data: np.ndarray, gone: np.ndarray | None):
@@ -341,6 +341,5 @@ def op3_suffix(documents: DataFrame, **options) -> DataFrame:
         spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
         return len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
-    settings = {"length": 100, "part_bytes": 16 << 20, "batch_strings": 1 << 18} | options
-    out = _removal(documents.select("doc_id", "text"), settings["length"], settings["part_bytes"], settings["batch_strings"], finish, "doc_id bigint, uid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return out.drop("uid")
+    fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    return _removal(documents.select("doc_id", "text"), length, part_bytes, batch_strings, finish, fields).drop("rest")
