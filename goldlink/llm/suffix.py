@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldlink.llm.common import U64, mix64, prefix_hashes, ranges, runs, sorted_groups, span_hashes
+from goldlink.llm.common import U64, mix64, prefix_hashes, ranges, release, runs, sorted_groups, span_hashes
 
 GRAM = 32
 _LAST = np.iinfo(np.int64).max
@@ -123,7 +123,7 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
 _MESSAGE = "part bigint, kind int, blob binary"
 
 
-def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, flush_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, flush_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Documents with their document part, and messages (document part, blob) of removed strings."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, math.ceil(total / part_bytes))
@@ -152,6 +152,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
                 if size >= flush_bytes and held:
                     yield flush()
                     held, size = [], 0
+                    release()
         if held:
             yield flush()
 
@@ -170,6 +171,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
             place, uid_ = place[twice], uid_[twice]
+            release()
             if len(place):
                 yield _messages([(p, 1, place[r].tobytes() + uid_[r].tobytes()) for p, r in _split(uid_ % parts)])
 
@@ -220,6 +222,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             table = np.array(done, dtype=np.int64)
             own = int(left.column("part")[0].as_py())
             out.append((own, 3, _pack_answers(table[:, 0], table[:, 1], table[:, 2], np.ones(int(table[:, 2].sum()), dtype=bool))))
+        release()
         return pa.Table.from_batches([_messages(out)])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +239,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
                     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
                     tables.append(np.frombuffer(raw, dtype=np.int64, count=4 * n, offset=8).reshape(n, 4))
                     texts_.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 32 * n))
+            release()
             if not tables:
                 continue
             table = np.concatenate(tables)
@@ -303,6 +307,7 @@ def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings:
         for uid, value in zip(left.column("uid").to_pylist(), left.column("text"), strict=True):
             data = _bytes_of(value)
             out.append(finish(data, _covered(len(data), np.concatenate(starts[uid]), length) if uid in starts else None))
+        release()
         made = list(zip(*out, strict=True)) or [()] * len(fields)
         return pa.table([left.column("doc_id"), left.column("rest"), *[pa.array(c, types[t]) for c, (_, t) in zip(made, fields, strict=True)]], names=["doc_id", "rest", *[name for name, _ in fields]])
 
@@ -310,7 +315,7 @@ def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings:
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
 
 
-def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 16 << 20, batch_strings: int = 1 << 18) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_strings: int = 1 << 18) -> DataFrame:
     """The rows of ``documents`` with what is left of their texts, and n_bytes, n_removed and spans (replacing such columns).
 
     Text is cut at character boundaries: a character goes only if all its bytes are covered. ``spans`` lists the covered
@@ -332,7 +337,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 16
     return out.select(*kept, *made)
 
 
-def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 16 << 20, batch_strings: int = 1 << 18) -> DataFrame:
+def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_strings: int = 1 << 18) -> DataFrame:
     """Digests of what is left of every document when repeated strings of 100 bytes are removed."""
 
     def finish(data: np.ndarray, gone: np.ndarray | None):
