@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from goldlink.plans.scratch import discard, materialize
+from goldlink.plans.scratch import materialize
 
 SEGMENT = 16
 
@@ -70,32 +70,31 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "i
     rows_total = best.count()
 
     asked = materialize(queries.where(F.col(code).isNotNull()).select(F.col(id_column).cast("long").alias("query_id"), F.col(code).alias("q")), "mih-queries")
-    open_queries, found, done = asked, None, None
-    spent: list[DataFrame] = []
+    # joins are by merge: the probes of a query are many, which no estimate before the explode can tell
+    open_queries, found, done = asked.withColumn("kth", F.lit(None).cast("int")), None, None
     for radius in range(SEGMENT + 1):
         if open_queries.isEmpty():
             break
-        probes = open_queries.select("query_id", "q", F.posexplode("q").alias("segment", "own"))
-        probes = probes.select("query_id", "q", "segment", F.explode(F.array(*[F.lit(x) for x in masks(radius)])).alias("flip"), "own")
-        probes = probes.select("query_id", "q", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(table, ["segment", "value"]).select("query_id", "q", "code").distinct()
-        fresh = met.select("query_id", "q", "code", _distance("q", "code", m).alias("distance"))
-        pool = fresh if found is None else fresh.unionByName(found).distinct()
-        kept = materialize(pool, "mih-found")
-        spent.append(kept)
-        sized = kept.join(entries.select("code", (F.size("ids") + F.col("nameless")).alias("rows")), "code")
+        probes = open_queries.select("query_id", "q", "kth", F.posexplode("q").alias("segment", "own"))
+        probes = probes.select("query_id", "q", "kth", "segment", F.explode(F.array(*[F.lit(x) for x in masks(radius)])).alias("flip"), "own")
+        probes = probes.select("query_id", "q", "kth", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        met = probes.hint("merge").join(table.hint("merge"), ["segment", "value"]).withColumn("distance", _distance("q", "code", m))
+        # beyond the k-th distance so far nothing can be in the answer
+        fresh = met.where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).select("query_id", "code", "distance")
+        kept = materialize((fresh if found is None else fresh.unionByName(found)).distinct(), "mih-found")
+        sized = kept.hint("merge").join(entries.select("code", (F.size("ids") + F.col("nameless")).alias("rows")).hint("merge"), "code")
         upto = F.sum("rows").over(W.partitionBy("query_id").orderBy("distance").rangeBetween(W.unboundedPreceding, W.currentRow))
-        reach = sized.withColumn("upto", upto).where(F.col("upto") >= min(k, rows_total)).groupBy("query_id").agg(F.min("distance").alias("kth"))
+        reach = sized.withColumn("upto", upto).where(F.col("upto") >= min(k, rows_total)).groupBy("query_id").agg(F.min("distance").alias("best"))
         covered = m * (radius + 1) - 1
-        state = materialize(open_queries.join(reach, "query_id", "left"), "mih-state")
-        spent.append(state)
-        ended = state.where(F.col("kth") <= covered).select("query_id", "kth") if radius < SEGMENT else state.select("query_id", F.coalesce("kth", F.lit(m * SEGMENT)).alias("kth"))
-        result = kept.join(ended, "query_id").where("distance <= kth").select("query_id", "code", "distance")
+        state = open_queries.select("query_id", "q").hint("merge").join(reach.hint("merge"), "query_id", "left").withColumnRenamed("best", "kth")
+        state = materialize(state, "mih-state")
+        ends = F.col("kth") <= covered if radius < SEGMENT else F.lit(True)
+        ended = state.where(ends).select("query_id", F.coalesce("kth", F.lit(m * SEGMENT)).alias("kth"))
+        result = kept.hint("merge").join(ended.hint("merge"), "query_id").where("distance <= kth").select("query_id", "code", "distance")
         done = result if done is None else done.unionByName(result)
-        going = state.where(F.col("kth").isNull() | (F.col("kth") > covered)) if radius < SEGMENT else state.limit(0)
-        # beyond the k-th distance so far nothing can be in the answer
-        found = kept.join(going.select("query_id", "kth"), "query_id").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).select("query_id", "q", "code", "distance")
-        open_queries = going.select("query_id", "q")
+        open_queries = state.where(~F.coalesce(ends, F.lit(False)))
+        going = open_queries.select("query_id", "kth").hint("merge")
+        found = kept.hint("merge").join(going, "query_id").where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).select("query_id", "code", "distance")
     if done is None:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, distance int")
     each = done.join(entries.select("code", "ids", "nameless"), "code").select("query_id", "distance", F.explode(F.concat("ids", F.array_repeat(F.lit(None).cast("long"), F.col("nameless").cast("int")))).alias("id"))
@@ -110,9 +109,9 @@ def op10_hamming_top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
 
 
 OP10_SQL = """
-WITH c AS (SELECT vec_id, list_transform(range(64), i -> CASE WHEN embedding[CAST(i + 1 AS INT)] > 0 THEN 1 ELSE 0 END) AS code
-  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.code, c.code), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INT) AS distance
+WITH c AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN embedding[CAST(i + 1 AS INT)] > 0 THEN 1 ELSE 0 END) AS code
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INT) AS distance
   FROM c AS q CROSS JOIN c WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
