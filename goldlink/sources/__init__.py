@@ -1 +1 @@
-
+"""Readers by file suffix, record numbering and sinks."""
