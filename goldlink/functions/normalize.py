@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldlink.functions import dictionaries as d
-from goldlink.functions.text import capture, filled, lookup, split_filled, strip, title_case
+from goldlink.functions.text import capture, filled, let, lookup, split_filled, strip, title_case
 
 STRINGS = "array<string>"
 
@@ -36,27 +36,41 @@ def phone(c: Column, region_code: str = "1") -> Column:
     the North American plan 7-digit local numbers count as possible, as length is all that is tested.
     """
     bare = F.regexp_replace(strip(c), r"(?i)\s*(?:;ext=|ext\.?|extension|x|#)\s*\d{1,7}\s*$", "")
-    vanity = F.regexp_like(bare, F.lit(r"^\+?[\d\s().\-]*\d[\d\s().\-]*[A-Za-z]{3,}[A-Za-z\d\s().\-]*$"))
-    keyed = F.when(vanity, F.translate(F.upper(bare), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")).otherwise(bare)
-    start = F.regexp_extract(keyed, r"[+(\d].*$", 0)
-    lead = F.regexp_extract(start, r"^[+\d\s().\-/]+", 0)
-    digits = F.regexp_replace(lead, "[^0-9]", "")
-    international = F.startswith(strip(lead), F.lit("+")) | F.startswith(digits, F.lit("011"))
-    full = F.when(F.startswith(strip(lead), F.lit("+")), digits).otherwise(F.substr(digits, F.lit(4)))
-    code = (
-        F.when(F.substring(full, 1, 1).isin(*CALLING_CODES_1), F.substring(full, 1, 1))
-        .when(F.substring(full, 1, 2).isin(*CALLING_CODES_2), F.substring(full, 1, 2))
-        .when(F.substring(full, 1, 1).isin("0"), F.lit(None).cast("string"))
-        .otherwise(F.substring(full, 1, 3))
-    )
-    code = F.when(international, code).otherwise(F.lit(region_code))
-    rest = F.when(international, F.substr(full, F.length(code) + 1)).otherwise(F.when((F.lit(region_code) == "1") & (F.length(digits) == 11) & F.startswith(digits, F.lit("1")), F.substr(digits, F.lit(2))).otherwise(digits))
-    rest = F.when(~code.isin(*KEEP_ZERO) & F.startswith(rest, F.lit("0")), F.substr(rest, F.lit(2))).otherwise(rest)
-    low, high = F.lit(4), F.lit(15) - F.length(code)
-    for known, (least, most) in NATIONAL_LENGTHS.items():
-        low, high = F.when(code == known, least).otherwise(low), F.when(code == known, most).otherwise(high)
-    possible = F.length(rest).between(low, high) & ((code != "1") | F.length(rest).isin(7, 10))
-    return F.when(possible & (F.length(code) > 0), F.concat(F.lit("+"), code, rest))
+
+    def dialled(text: Column) -> Column:
+        """The leading run of digits and punctuation, from the first + or digit; vanity letters as digits."""
+        vanity = text.rlike(r"^\+?[\d\s().\-]*\d[\d\s().\-]*[A-Za-z]{3,}[A-Za-z\d\s().\-]*$")
+        keyed = F.when(vanity, F.translate(F.upper(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")).otherwise(text)
+        return strip(F.regexp_extract(keyed, r"^[^+(\d]*([+(\d][+\d\s().\-/]*)", 1))
+
+    def split(lead: Column) -> Column:
+        """Whether a country code follows, and the digits after the international prefix."""
+        digits = F.regexp_replace(lead, "[^0-9]", "")
+        plus = F.startswith(lead, F.lit("+"))
+        abroad = plus | F.startswith(digits, F.lit("011"))
+        return F.struct(abroad.alias("abroad"), F.when(abroad & ~plus, F.substr(digits, F.lit(4))).otherwise(digits).alias("digits"))
+
+    def coded(x: Column) -> Column:
+        digits = x["digits"]
+        found = F.when(F.substring(digits, 1, 1).isin(*CALLING_CODES_1), 1).when(F.substring(digits, 1, 2).isin(*CALLING_CODES_2), 2).when(F.substring(digits, 1, 1) != "0", 3).otherwise(0)
+        trunk = (F.lit(region_code) == "1") & (F.length(digits) == 11) & F.startswith(digits, F.lit("1"))
+        return F.struct(
+            F.when(x["abroad"], F.substr(digits, F.lit(1), found)).otherwise(F.lit(region_code)).alias("code"),
+            F.when(x["abroad"], F.substr(digits, found + 1)).when(trunk, F.substr(digits, F.lit(2))).otherwise(digits).alias("rest"),
+        )
+
+    def checked(x: Column) -> Column:
+        code = x["code"]
+        zero = ~code.isin(*KEEP_ZERO) & F.startswith(x["rest"], F.lit("0"))
+        return let(F.when(zero, F.substr(x["rest"], F.lit(2))).otherwise(x["rest"]), lambda rest: F.when(possible(code, F.length(rest)), F.concat(F.lit("+"), code, rest)))
+
+    def possible(code: Column, n: Column) -> Column:
+        table = F.create_map(*[y for k, v in NATIONAL_LENGTHS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
+        usual = F.array(F.lit(4), F.lit(15) - F.length(code))
+        bounds = F.coalesce(F.try_element_at(table, code), usual)
+        return (F.length(code) > 0) & n.between(F.get(bounds, F.lit(0)), F.get(bounds, F.lit(1))) & ((code != "1") | n.isin(7, 10))
+
+    return let(let(let(dialled(bare), split), coded), checked)
 
 
 def phones(c: Column, region_code: str = "1") -> Column:
@@ -66,7 +80,10 @@ def phones(c: Column, region_code: str = "1") -> Column:
 
 def date(c: Column) -> Column:
     """``YYYY-MM``, ``YYYY``, ``Present`` or null; the first rule that applies decides."""
-    text = filled(c)
+    return let(filled(c), _date)
+
+
+def _date(text: Column) -> Column:
     month, year = capture(text, d.MONTH_YEAR, 1), capture(text, d.MONTH_YEAR, 2)
     number = F.lpad(capture(text, d.NUMERIC_MONTH_YEAR, 1), 2, "0")
     iso = capture(text, d.ISO_DATE, 2)
@@ -95,47 +112,50 @@ def location(c: Column, prefer_us_state: bool = False) -> Column:
     A country is looked for before a US state, so ``San Francisco, CA`` is in Canada; ``prefer_us_state`` turns the two round where
     two parts are given.
     """
-    text = filled(c)
-    parts = split_filled(text, ",")
+    text = let(filled(c), lambda t: F.struct(t.alias("text"), c.alias("raw"), split_filled(t, ",").alias("parts")))
+    return let(text, lambda x: _place(x, prefer_us_state))
+
+
+def _place(x: Column, prefer_us_state: bool) -> Column:
+    text, parts = x["text"], x["parts"]
     n, first, second = F.size(parts), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    last = F.try_element_at(parts, F.lit(-1))
-    low = F.lower(last)
     none = F.lit(None).cast("string")
 
     def made(city, region, code):
-        return F.struct(city.alias("city"), region.alias("region"), code.alias("country_code"), c.alias("raw"))
+        return F.struct(city.alias("city"), region.alias("region"), code.alias("country_code"), x["raw"].alias("raw"))
+
+    def one(words: Column) -> Column:
+        """One part: its last word as a country, all of it as a country, a known city, or just a name."""
+        by_word, whole = words["code"], country(text)
+        named = F.when(whole.isNotNull(), made(none, none, whole)).otherwise(made(text, none, lookup(d.CITIES, F.lower(text))))
+        return F.when(by_word.isNotNull(), made(words["head"], none, by_word)).otherwise(named)
 
-    head, tail = capture(text, r"(?Us)^(.*\S)\s+(\S+)$", 1), capture(text, r"(?Us)^(.*\S)\s+(\S+)$", 2)
-    one = (
-        F.when(country(tail).isNotNull(), made(strip(head), none, country(tail)))
-        .when(country(text).isNotNull(), made(none, none, country(text)))
-        .otherwise(made(text, none, lookup(d.CITIES, F.lower(text))))
-    )
     names = {v.lower(): k.upper() for k, v in d.US_STATES.items()}
-    as_country = F.when(n >= 3, made(first, second, country(last))).otherwise(made(first, none, country(last)))
-    as_state = made(first, F.upper(last), F.lit("US"))
-    is_state, is_country = lookup(d.US_STATES, low).isNotNull(), country(last).isNotNull()
-    more = F.when(is_state & (n == 2), as_state).when(is_country, as_country) if prefer_us_state else F.when(is_country, as_country)
-    more = (
-        more.when(is_state, as_state)
-        .when(lookup(names, low).isNotNull(), made(first, lookup(names, low), F.lit("US")))
-        .when(lookup(d.CITIES, F.lower(first)).isNotNull(), made(first, second, lookup(d.CITIES, F.lower(first))))
-        .otherwise(made(first, last, none))
-    )
-    return F.when(text.isNull(), made(none, none, none)).when(n <= 1, one).otherwise(more)
+
+    def more(last: Column) -> Column:
+        """Several parts: the last one as a country, a state's abbreviation or name; else the first as a known city."""
+        low, code = F.lower(last), country(last)
+        as_country = F.when(code.isNotNull(), made(first, F.when(n >= 3, second), code))
+        as_state = made(first, F.upper(last), F.lit("US"))
+        is_state = lookup(d.US_STATES, low).isNotNull()
+        rules = F.when(is_state & (n == 2), as_state).when(code.isNotNull(), as_country) if prefer_us_state else F.when(code.isNotNull(), as_country)
+        city = lookup(d.CITIES, F.lower(first))
+        return rules.when(is_state, as_state).when(lookup(names, low).isNotNull(), made(first, lookup(names, low), F.lit("US"))).when(city.isNotNull(), made(first, second, city)).otherwise(made(first, last, none))
+
+    ends = r"(?Us)^(.*\S)\s+(\S+)$"
+    words = F.struct(strip(capture(text, ends, 1)).alias("head"), country(capture(text, ends, 2)).alias("code"))
+    return F.when(text.isNull(), made(none, none, none)).when(n <= 1, let(words, one)).otherwise(let(F.try_element_at(parts, F.lit(-1)), more))
 
 
 def location_text(c: Column, prefer_us_state: bool = False) -> Column:
     """``city, region, CC`` where a country was found; otherwise the text as it was."""
-    place = location(c, prefer_us_state)
-    code = place["country_code"]
-    return F.when(code.isNotNull(), F.concat_ws(", ", F.nullif(place["city"], F.lit("")), F.nullif(place["region"], F.lit("")), code)).otherwise(c)
+    shown = lambda p: F.concat_ws(", ", F.nullif(p["city"], F.lit("")), F.nullif(p["region"], F.lit("")), p["country_code"])
+    return let(location(c, prefer_us_state), lambda p: F.when(p["country_code"].isNotNull(), shown(p)).otherwise(p["raw"]))
 
 
 def skill(c: Column, table: dict[str, str] = d.SKILLS) -> Column:
     """Canonical name of a skill; unknown ones in title case; null for blanks."""
-    text = filled(c)
-    return F.coalesce(lookup(table, F.lower(text)), title_case(text))
+    return let(filled(c), lambda text: F.coalesce(lookup(table, F.lower(text)), title_case(text)))
 
 
 def skills(c: Column, table: dict[str, str] = d.SKILLS) -> Column:

@@ -41,3 +41,11 @@ def capture(c: Column, pattern: str, group: int = 1) -> Column:
 def find_all(c: Column, pattern: str) -> Column:
     """Distinct matches in order of first occurrence."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    Column expressions are trees: a value that is used many times, level over level, otherwise makes plans grow exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -10,31 +10,39 @@ once the next is written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from goldlink.plans.scratch import discard, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.bit_xor(F.xxhash64("v", "u"))).first())
+#: Below so many edges a round is one plan: no key can be large then, and each extra job costs more than it saves.
+SMALL = 200_000
 
 
-def _half(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation on directed pairs (u > v)."""
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their count and checksums, taken while they are written."""
+    seen = Observation()
+    checks = (F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("a"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))).alias("b"))
+    table = materialize(edges.observe(seen, *checks), "cc-edges")
+    return table, tuple(seen.get[k] for k in ("n", "a", "b"))
+
+
+def _half(edges: DataFrame, large: bool, cut: bool) -> tuple[DataFrame, DataFrame | None]:
+    """One star operation on directed pairs (u > v); also the table of minima, if one was written."""
     if large:
         pairs = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges.select("u", "v")
-    least = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-min")
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if cut:
+        least = materialize(least, "cc-min")
     joined = pairs.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    result = materialize(out.where("u <> v").distinct(), "cc-edges")
-    discard(least)
-    return result
+    return out.where("u <> v").distinct(), least if cut else None
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -43,17 +51,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end and self-loops are ignored. The result is backed by a table in the shared folder.
     """
     u, v = F.col(src), F.col(dst)
-    current = materialize(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "cc-edges")
-    before = _mark(current)
+    current, before = _write(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        middle = _half(current, large=True)
-        after = _half(middle, large=False)
-        discard(middle)
-        discard(current)
+        cut = before[0] > SMALL
+        middle, first = _half(current, True, cut)
+        if cut:
+            middle = materialize(middle, "cc-middle")
+        after, second = _half(middle, False, cut)
+        after, now = _write(after)
+        for table in (first, middle, second, current):
+            discard(table)
         current = after
-        now = _mark(current)
         if now == before:
             break
         before = now
