@@ -14,4 +14,4 @@ def test_functions_agree_with_the_column_versions(spark):
     want = df.select("x", nz.date(F.col("x")).alias("d"), nz.skill(F.col("x")).alias("s"), nz.country(F.col("x")).alias("c"), F.nullif(nz.email(F.col("x")), F.lit("")).alias("e")).collect()
     assert sorted(map(repr, (tuple(r[:5]) for r in got))) == sorted(map(repr, map(tuple, want)))
     assert [r.x for r in got if r.p] == ["+15550001111"] and [r.x for r in got if r.m] == ["a@b.co"]
-    assert "Python" not in spark.sql("SELECT normalize_skill(CAST(id AS STRING)) FROM range(3)")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in spark.sql("SELECT normalize_skill(CAST(id AS STRING)) FROM range(3)")._jdf.queryExecution().executedPlan().toString()
