@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from goldlink.plans import pipeline
+    from goldlink.plans.scratch import sweep
     from goldlink.sources import sink
 
     spark = SparkSession.builder.appName("goldlink").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -55,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"rejected {row['profile_id'][:8]}: {row['message']}", file=sys.stderr)
     for path in made.sources_failed:
         print(f"failed: {path}", file=sys.stderr)
+    sweep()
     return 0
 
 

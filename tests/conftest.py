@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from goldlink.plans.scratch import sweep
+
+    sweep()
     session.stop()
