@@ -95,3 +95,15 @@ def test_strip(spark, text, want):
 
 def test_title_case(spark):
     assert apply(spark, title_case, ["o'neil mcdonald 3d", None]) == ["O'Neil Mcdonald 3D", None]
+
+
+def test_standardizing_twice_changes_nothing(spark):
+    phones = [p for _, p in PHONES if p and len(p) > 9]
+    assert apply(spark, nz.phone, phones) == phones
+    dates = [e for _, e in DATES if e]
+    assert apply(spark, nz.date, dates) == dates
+    skills = [e for _, e in SKILLS if e]
+    assert apply(spark, nz.skill, skills) == skills
+    places = ["Boston, US", "Pune, IN", "Austin, Texas, US", "San Francisco, CA", "Nowhere, Else"]
+    once = apply(spark, nz.location_text, places)
+    assert apply(spark, nz.location_text, once) == once
