@@ -343,7 +343,8 @@ def near_duplicates(
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("component", F.least(mine, j), F.greatest(mine, j)))
     wanted = materialize(member.select("node", "k1", "k2", "key", F.array_distinct(pairs).alias("groups")), "near-wanted")
-    texts = named.select("key", "text").join(wanted, "key").select("node", "k1", "k2", "text", F.explode("groups").alias("g"))
+    # the wanted classes grow with the corpus: never broadcast
+    texts = named.select("key", "text").join(wanted.hint("merge"), "key").select("node", "k1", "k2", "text", F.explode("groups").alias("g"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
