@@ -8,10 +8,13 @@
    branches on average at each level, so with rate below the threshold the tree keeps a similar pair with
    constant probability, and the trees together miss it with a probability that falls exponentially.
 3. Small nodes are compared exhaustively on sketches; large ones branch further, or, where a sample shows
-   that most of their members are similar, are scanned once against the members kept so far. The links
-   that a sketch suggests (estimate well below the threshold) join classes into candidate groups.
+   that many of their members are similar, or at the greatest depth, become candidates as a whole. The links
+   that a sketch suggests (estimate well below the threshold) join classes into candidate groups. Nodes pass through a
+   task as a sorted stream of which no more than a small node is held.
 4. Each candidate group is compared on full shingle sets: links of exact similarity at or above the threshold
-   between members that are not connected yet. Groups larger than a block are cut into pairs of blocks.
+   between members that are not connected yet. A group larger than a block is cut into blocks, and its smallest
+   member joins each of them; only what is then not connected to that member meets the whole group, block by
+   block. So a large group of near copies costs one comparison a member, and no link is lost in any group.
    Components of confirmed links are the result.
 
 Nothing is capped: every class stays in every node that its tokens select. Recall at exact similarity 0.8 is
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldlink.llm.common import U64, components, mix64, ranges, runs, shingle_set, sorted_groups
+from goldlink.llm.common import U64, components, mix64, ranges, release, runs, shingle_set, sorted_groups
 from goldlink.operators.components import connected_components
 from goldlink.plans.scratch import discard, materialize
 
@@ -76,6 +79,7 @@ def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
                 n.append(len(shingles))
                 sketches.append(sketch_of(shingles, salts).tobytes() if len(shingles) else b"")
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), batch.column("key"), batch.column("id"), pa.array(sketches, pa.binary())], names=["k1", "k2", "n", "key", "id", "sketch"])
+        release()
 
     return documents.mapInArrow(run, _CLASS)
 
@@ -168,35 +172,6 @@ def _all_pairs(node: _Node, cuts: np.ndarray, least: int, ratio: float) -> tuple
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-class _Scan:
-    """A large node of mostly similar members: each new block of rows against all that are kept.
-
-    A row with the same sketch as a kept one is linked to it and not kept, as it adds no candidates.
-    """
-
-    def __init__(self, least: int, ratio: float):
-        self.least, self.ratio, self.kept = least, ratio, None
-
-    def feed(self, node: _Node) -> tuple[np.ndarray, np.ndarray]:
-        old = 0 if self.kept is None else len(self.kept.cid)
-        cid, n, s = node.cid, node.n, node.sketch
-        if old:
-            cid, n, s = np.r_[self.kept.cid, cid], np.r_[self.kept.n, n], np.concatenate([self.kept.sketch, s])
-        a, b, keep = [], [], np.ones(len(cid), dtype=bool)
-        for i in range(old, len(cid)):
-            fits = np.flatnonzero(np.minimum(n[:i], n[i]) >= self.ratio * np.maximum(n[:i], n[i]))
-            agree = (s[fits] == s[i]).sum(axis=1)
-            near = fits[agree >= self.least]
-            a.append(near)
-            b.append(np.full(len(near), i))
-            keep[i] = not (agree == POSITIONS).any()
-        self.kept = node
-        self.kept.cid, self.kept.n, self.kept.sketch = cid[keep], n[keep], s[keep]
-        label = components(len(cid), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(cid))
-        moved = np.flatnonzero(label != np.arange(len(cid)))
-        return cid[moved], cid[label[moved]]
-
-
 def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int, most_depth: int) -> DataFrame:
     """Links (path null; cid, other) from small and dense nodes, and rows of large nodes one level deeper."""
 
@@ -204,6 +179,9 @@ def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([none, pa.array(a), none, pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(b)], names=["path", "cid", "n", "depth", "sketch", "other"])
 
+    def star(node, centre):
+        return emit(node.cid, np.full(len(node.cid), centre))
+
     def deeper(table, node):
         paths, row = _branch(table.column("path").to_numpy().astype(U64), _tokens(node.sketch), rate)
         depth = int(table.column("depth")[0].as_py()) + 1
@@ -215,7 +193,7 @@ def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # rows of complete or growing small nodes; the last node may go on
-        big = None  # (path, scan or None): the large node that is passing through
+        big = None  # (path, its first class if it is dense): the large node that is passing through
 
         def settle(table: pa.Table):
             node = _Node(table)
@@ -234,7 +212,7 @@ def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int
                 same = int((paths == big[0]).sum())
                 if same:
                     part = table.slice(0, same)
-                    yield emit(*big[1].feed(_Node(part))) if big[1] else deeper(part, _Node(part))
+                    yield star(_Node(part), big[1]) if big[1] is not None else deeper(part, _Node(part))
                     table = table.slice(same)
                 if table.num_rows == 0:
                     continue
@@ -252,11 +230,11 @@ def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int
                 sample = np.arange(min(len(node.cid), 128))
                 x, y = np.triu_indices(len(sample), 1)
                 dense = _similar(node.sketch, node.n, x, y, least, ratio).mean() > 0.25
-                scan = _Scan(least, ratio) if dense or part.column("depth")[0].as_py() >= most_depth else None
-                yield emit(*scan.feed(node)) if scan else deeper(part, node)
+                centre = int(node.cid[0]) if dense or part.column("depth")[0].as_py() >= most_depth else None
+                yield star(node, centre) if centre is not None else deeper(part, node)
                 done.append((lo, hi))
                 if hi == len(paths):
-                    big = (paths[-1], scan)
+                    big = (paths[-1], centre)
             keep = np.ones(len(paths), dtype=bool)
             for lo, hi in done:
                 keep[lo:hi] = False
@@ -267,6 +245,7 @@ def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int
                 held = table.slice(last)
             if ready.num_rows:
                 yield settle(ready)
+                release()
         if held is not None:
             yield settle(held)
 
@@ -310,7 +289,7 @@ def near_duplicates(
     rate: float = 0.6,
     small: int = 256,
     most_depth: int = 9,
-    block: int = 2000,
+    block: int = 1000,
     id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -338,13 +317,8 @@ def near_duplicates(
     candidates = connected_components(links.distinct(), "cid", "other")
 
     groups = materialize(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "near-groups")
-    member = candidates.join(groups, "component").join(classes.select(F.col("cid").alias("node"), "k1", "k2", "key"), "node")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("component", F.least(mine, j), F.greatest(mine, j)))
-    wanted = materialize(member.select("node", "k1", "k2", "key", F.array_distinct(pairs).alias("groups")), "near-wanted")
-    # the wanted classes grow with the corpus: never broadcast
-    texts = named.select("key", "text").join(wanted.hint("merge"), "key").select("node", "k1", "k2", "text", F.explode("groups").alias("g"))
+    known = classes.select(F.col("cid").alias("node"), "k1", "k2", "key")
+    member = materialize(candidates.join(groups, "component").join(known, "node"), "near-members")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "g"):
@@ -359,9 +333,39 @@ def near_duplicates(
             if len(ids) > 1:
                 a, b = confirm([sets_here[i] for i in ids.tolist()], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            release()
 
-    confirmed = materialize(texts.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "a bigint, b bigint"), "near-links")
+    def compared(placed: DataFrame) -> DataFrame:
+        """Links among the classes that meet in one of their ``meets`` (an array for each row)."""
+        # the wanted classes grow with the corpus: never broadcast
+        wanted = materialize(placed.select("node", "k1", "k2", "key", F.array_distinct("meets").alias("meets")), "near-wanted")
+        texts = named.select("key", "text").join(wanted.hint("merge"), "key").select("node", "k1", "k2", "text", F.explode("meets").alias("g"))
+        return materialize(texts.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "a bigint, b bigint"), "near-links")
+
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    all_blocks = F.sequence(F.lit(0), blocks - 1)
+    # the group's smallest class goes to all its blocks, each other one to its own
+    first = F.when(F.col("node") == F.col("component"), F.transform(all_blocks, lambda j: F.xxhash64("component", j))).otherwise(F.array(F.xxhash64("component", mine)))
+    confirmed = compared(member.withColumn("meets", first))
     final = connected_components(confirmed, "a", "b")
+
+    large = member.where(F.col("members") > block)
+    if not large.isEmpty():
+        named_parts = large.join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        parts = materialize(named_parts, "near-parts")
+        heads = parts.where("node = component").select("component", F.col("part").alias("main"))
+        open_groups = parts.join(heads, "component").where("part <> main").groupBy("component", "main").agg(F.count(F.lit(1)).alias("rest"))
+        open_groups = materialize(open_groups, "near-open")
+        # what the smallest class does not reach meets everything of its group; the rest is connected already
+        again = parts.join(open_groups, "component").withColumn("chunks", F.ceil(F.col("rest") / block).cast("int"))
+        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+        with_rest = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.xxhash64("component", mine, i))
+        as_rest = F.transform(all_blocks, lambda j: F.xxhash64("component", j, own))
+        meets = F.when(F.col("part") == F.col("main"), with_rest).otherwise(F.concat(with_rest, as_rest))
+        if not open_groups.isEmpty():
+            confirmed = confirmed.union(compared(again.withColumn("meets", meets)))
+            final = connected_components(confirmed, "a", "b")
     for table in [*spent, groups]:
         discard(table)
 
@@ -376,3 +380,14 @@ def near_duplicates(
 def op7_near_duplicates(documents: DataFrame) -> DataFrame:
     """Components of documents linked at similarity 0.8 of two-word shingles."""
     return near_duplicates(documents, shingle_words=2)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x AS a JOIN x AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.m AS component_id, c.m = s.doc_id AS kept FROM s JOIN c ON c.a = s.doc_id
+"""

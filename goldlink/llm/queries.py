@@ -33,4 +33,4 @@ QUERIES = {
     "op10_hamming_top_k": _over("embeddings", hamming.op10_hamming_top_k),
 }
 
-ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op8_near_vectors": near_vectors.OP8_SQL, "op10_hamming_top_k": hamming.OP10_SQL}
+ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op7_near_duplicates": near_text.OP7_SQL, "op8_near_vectors": near_vectors.OP8_SQL, "op10_hamming_top_k": hamming.OP10_SQL}
