@@ -17,7 +17,7 @@ from goldlink.plans.scratch import discard, materialize
 
 
 #: Below so many edges a round is one plan: no key can be large then, and each extra job costs more than it saves.
-SMALL = 200_000
+SMALL = 20_000
 
 
 def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
