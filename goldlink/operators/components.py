@@ -52,9 +52,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     u, v = F.col(src), F.col(dst)
     current, before = _write(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    rounds = 0
+    while before[0] > 0:
+        if rounds == max_rounds:
+            raise RuntimeError(f"no convergence after {max_rounds} rounds")
+        rounds += 1
         cut = before[0] > SMALL
         middle, first = _half(current, True, cut)
         if cut:
@@ -67,7 +69,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._rounds = rounds
+    return out

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from goldlink.functions.normalize import normalize
+from goldlink.operators import components
 from goldlink.operators.components import connected_components
 from goldlink.operators.merge import merge
 from goldlink.operators.resolve import resolve_entities, star_edges
@@ -50,6 +51,15 @@ def test_components_random(spark, seed, n, m):
     assert got == {i: want[i] for i in linked}
 
 
+def test_components_with_written_minima(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 0)
+    rng = random.Random(9)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(80)] + [(0, i) for i in range(60, 90)]
+    want = union_find(90, edges)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert got == {i: want[i] for i in {x for a, b in edges if a != b for x in (a, b)}}
+
+
 def test_components_shapes(spark):
     path = [(i, i + 1) for i in range(120)]
     star = [(1000, 1000 + i) for i in range(1, 80)]
