@@ -45,9 +45,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     ship(spark)
-    read = bpe.decode_column(bpe.encode_column(docs.select(*COLUMNS)), text="decoded")
-    exact = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return read.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("decodes"))
+    read = bpe.encode_column(docs.select(*COLUMNS), check="decodes")
+    return read.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "decodes")
 
 
 STAGES = [

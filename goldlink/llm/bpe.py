@@ -20,14 +20,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from goldlink.llm.common import release
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -222,6 +225,14 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.pieces = _Pieces(self.transducer, most_pieces)
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts; the vocabulary stays."""
+        self.pieces.old = {}
+        self.pieces.clear()
+        self.transducer.pairs.clear()
+        self.transducer.reset()
+        release()
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
@@ -276,7 +287,7 @@ class Decoder:
         if rest := machine.close():
             yield rest
 
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+    def decode(self, ids: Sequence[int], chunk: int = 4096) -> str:
         return "".join(self.stream(ids[i : i + chunk] for i in range(0, len(ids), chunk)))
 
 
@@ -291,18 +302,38 @@ def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return _LOADED[path, pattern]
 
 
-def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` with an array<int> column of token ids (an input column of that name is replaced)."""
+def _slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that token ids of few documents are held at a time."""
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
+
+
+def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, check: str | None = None) -> DataFrame:
+    """``df`` with an array<int> column of token ids; ``check`` names a boolean column that tells whether they decode to the text.
+
+    Input columns of these names are replaced. What a task has learnt is dropped at its end, as other stages need the memory.
+    """
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    body = df.drop(ids)
+    named = [check] if check else []
+    body = df.drop(ids, *named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = codec(path, pattern)
+        encoder, decoder = codec(path, pattern)
         for batch in batches:
-            out = pa.array([encoder.encode(t.as_py() or "") for t in batch.column(text)], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, ids])
+            for part in _slices(batch):
+                texts = [t.as_py() or "" for t in part.column(text)]
+                found = [np.array(encoder.encode(t), dtype=np.int32) for t in texts]
+                more = [pa.array([decoder.decode(i) == t for i, t in zip(found, texts, strict=True)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found), *more], names=[*part.schema.names, ids, *named])
+        encoder.forget()
 
-    return body.mapInArrow(run, T.StructType([*body.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    extra = [T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(n, T.BooleanType()) for n in named]]
+    return body.mapInArrow(run, T.StructType([*body.schema.fields, *extra]))
 
 
 def decode_column(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
@@ -313,8 +344,9 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "text", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = codec(path, pattern)
         for batch in batches:
-            out = pa.array([decoder.decode(x.as_py() or []) for x in batch.column(ids)], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, text])
+            for part in _slices(batch):
+                out = pa.array([decoder.decode(x.as_py() or []) for x in part.column(ids)], type=pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, text])
 
     return body.mapInArrow(run, T.StructType([*body.schema.fields, T.StructField(text, T.StringType())]))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldlink.llm.common import U64, mix64, prefix_hashes, runs, span_hashes
+from goldlink.llm.common import U64, mix64, prefix_hashes, release, runs, span_hashes
 
 SHAPES, WORDS, FACTS = 2048, 8192, 512
 _KIND = np.arange(256, dtype=np.uint8)
@@ -262,6 +262,7 @@ def classify(documents: DataFrame, model: Model, least: float = 0.5) -> DataFram
             columns = [batch.column(c) for c in names]
             scores = np.array([model.score(features(*(c[i].as_py() for c in columns))) for i in range(batch.num_rows)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= least)], names=[*batch.schema.names, "quality_score", "quality_keep"])
+        release()
 
     return body.mapInArrow(run, T.StructType([*body.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_keep", T.BooleanType())]))
 
