@@ -12,13 +12,15 @@ O(log n) times.
 
 Distribution. Only strings whose content recurs need an index. Each string has a minimizer, the smallest hash among
 the 32-byte substrings in it, at a place that depends on its content only; equal strings have equal minimizers.
-  1. Every document's minimizers go by hash to parts; a part returns the places of those that occur twice or more.
+  1. Every document's minimizers go by hash to parts; a part returns the places of those that occur twice or more. Those
+     that recur among a task's documents are combined into one message first.
   2. Documents meet those places (co-grouped by document hash) and send the stretch of text under each such
      minimizer to the minimizer's part. Of equal stretches within a task only the earliest is sent, the others are
      removed at once: a passage or a document with thousands of copies is combined before it is shuffled.
   3. Each part runs an index over its stretches, in document order, and returns which strings occur earlier.
   4. Documents meet the answers and drop the covered bytes.
-A part is sized by ``part_bytes`` of corpus; no step holds more than one part or one group of documents.
+A part is sized by ``part_bytes`` of corpus; no step holds more than one part or one group of documents. Only the minimizers at
+the edges of a passage keep a stretch for each document that holds it, as what stands before or behind it differs.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep all bytes; texts are processed whole
 and may have any length; a null id comes after all others; rows of equal id are ordered by a hash of the text, and rows
@@ -42,6 +44,7 @@ from goldlink.llm.common import U64, mix64, prefix_hashes, ranges, release, runs
 
 GRAM = 32
 _LAST = np.iinfo(np.int64).max
+MARK = np.uint32(0xFFFFFFFF)
 
 
 class LogSuffixIndex:
@@ -137,9 +140,18 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
 
         def flush():
             hashes, uids, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = _part(hashes, parts)
-            short = (hashes & U64(0xFFFFFFFF)).astype(np.uint32)
-            return _messages([(p, 0, short[r].tobytes() + places[r].tobytes() + uids[r].tobytes()) for p, r in _split(to)])
+            # what recurs within the flush is known at once: its places go back, and one mark stands for all of them
+            order = np.argsort(hashes, kind="stable")
+            cuts = runs(hashes[order])
+            sizes = np.diff(cuts)
+            alone = np.repeat(sizes == 1, sizes)
+            twice, marked = order[~alone], order[cuts[:-1][sizes > 1]]
+            out = [(p, 1, places[twice[r]].tobytes() + uids[twice[r]].tobytes()) for p, r in _split(uids[twice] % parts)]
+            rows = np.concatenate([order[alone], marked])
+            places, uids = places[rows], uids[rows]
+            places[alone.sum() :], uids[alone.sum() :] = MARK, 0
+            short = (hashes[rows] & U64(0xFFFFFFFF)).astype(np.uint32)
+            return _messages(out + [(p, 0, short[r].tobytes() + places[r].tobytes() + uids[r].tobytes()) for p, r in _split(_part(hashes[rows], parts))])
 
         for batch in batches:
             for key, value in zip(batch.column("uid"), batch.column("text"), strict=True):
@@ -159,17 +171,24 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
     def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "part"):
             shorts, places, uids = [], [], []
-            for blob in group.column("blob").to_pylist():
+            kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
+            if through := [(group.column("part")[0].as_py(), 1, b) for b, k in zip(blobs, kinds, strict=True) if k == 1]:
+                yield _messages(through)
+            for blob in (b for b, k in zip(blobs, kinds, strict=True) if k == 0):
                 n = len(blob) // 16
                 shorts.append(np.frombuffer(blob, dtype=np.uint32, count=n))
                 places.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=4 * n))
                 uids.append(np.frombuffer(blob, dtype=np.int64, count=n, offset=8 * n))
+            if not shorts:
+                continue
             short, place, uid_ = np.concatenate(shorts), np.concatenate(places), np.concatenate(uids)
             order = np.argsort(short, kind="stable")
             same = short[order[1:]] == short[order[:-1]]
             twice = np.zeros(len(short), dtype=bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
+            # a mark makes the places elsewhere recur; its own have gone back already
+            twice &= place != MARK
             place, uid_ = place[twice], uid_[twice]
             release()
             if len(place):
