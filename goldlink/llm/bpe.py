@@ -52,7 +52,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """bytes of one piece → token ids; the deterministic automaton grows with use."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte → node; the root is 0
@@ -220,7 +220,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 500_000):
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.pieces = _Pieces(self.transducer, most_pieces)
