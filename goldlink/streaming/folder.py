@@ -41,7 +41,8 @@ def watch(spark: SparkSession, folder: str, state: str, on_profiles: Callable[[D
 
     ``on_profiles`` gets the changed profiles of each batch; a batch that is run again after a failure replaces its own version.
     """
-    names = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.*").load(folder).select("path")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    names = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.*").load(folder).select("path")
     fs = spark._jvm.org.apache.hadoop.fs
 
     def versions(batch: int) -> list[int]:
