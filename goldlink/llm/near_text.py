@@ -1,29 +1,28 @@
 """MinHash near-duplicate detection by chosen-path set similarity join.
 
-1. Each text becomes its set of word shingles. Documents with equal sets form a class, by map-side combined
-   aggregation; only classes are compared, so thousands of copies cost one comparison each.
+1. Each text becomes its set of word shingles, as 128-bit digests. Documents with equal sets form a class, by map-side
+   combined aggregation; only classes are compared, so thousands of copies cost one comparison each.
 2. Each class gets a sketch of ``positions`` minwise tokens. In each of ``trees`` independent trees a class
    starts at the root and goes, at every node, into the branch of each of its tokens that a hash of
    (node, token) selects with probability 1 / (rate * positions). Two sets of similarity s share s / rate
    branches on average at each level, so with rate below the threshold the tree keeps a similar pair with
    constant probability, and the trees together miss it with a probability that falls exponentially.
-3. Small nodes are compared exhaustively on sketches; large ones branch further, or, where a sample shows
-   that many of their members are similar, or at the greatest depth, become candidates as a whole. The links
-   that a sketch suggests (estimate well below the threshold) join classes into candidate groups. Nodes pass through a
-   task as a sorted stream of which no more than a small node is held.
-4. Each candidate group is compared on full shingle sets: links of exact similarity at or above the threshold
-   between members that are not connected yet. A group larger than a block is cut into blocks, and its smallest
-   member joins each of them; only what is then not connected to that member meets the whole group, block by
-   block. So a large group of near copies costs one comparison a member, and no link is lost in any group.
-   Components of confirmed links are the result.
+3. Nodes of at most ``small`` members are compared exhaustively on sketches, one node at a time from a sorted stream.
+   Larger nodes are never gathered: a bounded sample of each tells whether many of its pairs look similar. If
+   so, its members face the one that agrees best with the sample's consensus; if not, each member branches on.
+4. Verification is of pairs, on whole texts. First every class meets the one partner that promises most (in a group of
+   near copies usually the text they derive from): one comparison a member. What is confirmed is connected;
+   every other pair that met in a node with like sketches and is not connected yet is then compared too, so no
+   link is lost. The pairs of one text are dealt out in groups of ``block`` and stream past it. In dense nodes, where pairs are
+   too many to list, blocks of the members that are not connected to the centre meet slices of all members.
 
 Nothing is capped: every class stays in every node that its tokens select. Recall at exact similarity 0.8 is
-1 - 0.3748**trees for two levels at rate 0.6 (0.99999 for 12 trees), and rises with similarity; nodes
-that are large after two levels go on branching.
+1 - 0.3748**trees for two levels at rate 0.6 (0.99999 for 12 trees), and rises with similarity; in nodes that
+branch on, down to ``most_depth``, a tree keeps a pair at 0.8 with probability 0.47 at least (12 trees: 0.9995).
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; texts of any
 length are used whole; repeated rows are documents like any others; a null id takes part, and a
-component's id is its smallest non-null id; other columns are ignored.
+component's id is its smallest non-null id; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from goldlink.llm.common import U64, components, mix64, ranges, release, runs, shingle_set, sorted_groups
+from goldlink.llm.common import U64, components, mix64, ranges, release, runs, shared_shingles, shingle_sets
 from goldlink.operators.components import connected_components
 from goldlink.plans.scratch import discard, materialize
 
 POSITIONS = 64
-_CLASS = "k1 bigint, k2 bigint, n bigint, key bigint, id bigint, sketch binary"
+#: Members of a large node whose sketches tell whether it is dense.
+SAMPLE = 64
 
 
 def _salts() -> np.ndarray:
@@ -57,31 +58,31 @@ def sketch_of(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that identify a set."""
+    """Two sums that identify a set, one for each half of the digests."""
     with np.errstate(over="ignore"):
-        a = mix64(shingles).sum(dtype=U64)
-        b = mix64(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
+        a, b = mix64(shingles).sum(axis=1, dtype=U64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
 def _sets(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """key (id, or a hash where that is null), id, set keys, set size and sketch of every document."""
+    """``documents`` (id, text, rest) with set keys, set size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _salts()
         for batch in batches:
             k1, k2, n, sketches = [], [], [], []
-            for text in batch.column("text"):
-                shingles = shingle_set(text.as_py(), shingle_words)
+            for shingles in shingle_sets((t.as_py() for t in batch.column("text")), shingle_words):
                 a, b = set_keys(shingles)
                 k1.append(a)
                 k2.append(b)
-                n.append(len(shingles))
-                sketches.append(sketch_of(shingles, salts).tobytes() if len(shingles) else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), batch.column("key"), batch.column("id"), pa.array(sketches, pa.binary())], names=["k1", "k2", "n", "key", "id", "sketch"])
+                n.append(shingles.shape[1])
+                sketches.append(sketch_of(shingles[0], salts).tobytes() if shingles.shape[1] else b"")
+            made = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "k1", "k2", "n", "sketch"])
         release()
 
-    return documents.mapInArrow(run, _CLASS)
+    made = [T.StructField(c, T.LongType()) for c in ("k1", "k2", "n")] + [T.StructField("sketch", T.BinaryType())]
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *made]))
 
 
 def _tokens(sketch: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ def _grow(classes: DataFrame, trees: int, depth: int, rate: float) -> DataFrame:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """The rows of ``nodes`` whose path has another row."""
+    """The rows of ``nodes`` whose path has another row; nodes are small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far, if it is the first of its path
@@ -139,244 +140,349 @@ def _shared(nodes: DataFrame) -> DataFrame:
 
 
 class _Node:
-    """Members of one node: ids, set sizes and 8-bit sketches."""
+    """Members of nodes: paths, ids, set sizes and 8-bit sketches."""
 
     def __init__(self, table: pa.Table | pa.RecordBatch):
+        self.path = table.column("path").to_numpy()
         self.cid = table.column("cid").to_numpy()
         self.n = table.column("n").to_numpy()
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
 
 
 def _similar(s: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, ratio: float) -> np.ndarray:
-    """Which of the pairs a-b may reach the threshold: set sizes allow it and the sketches agree enough."""
+    """Agreeing positions of the pairs a-b; 0 where these are too few or set sizes rule the threshold out."""
     fits = np.flatnonzero(np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]))
-    out = np.zeros(len(a), dtype=bool)
+    out = np.zeros(len(a), dtype=np.int32)
     for i in range(0, len(fits), 65536):
         part = fits[i : i + 65536]
-        out[part] = (s[a[part]] == s[b[part]]).sum(axis=1) >= least
-    return out
+        out[part] = (s[a[part]] == s[b[part]]).sum(axis=1)
+    return np.where(out >= least, out, 0)
 
 
-def _all_pairs(node: _Node, cuts: np.ndarray, least: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs within each run of rows, all runs at once, by distance between rows."""
+def _all_pairs(node: _Node, cuts: np.ndarray, least: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similar pairs within each run of rows, all runs at once, by distance between rows; and how many positions agree."""
     sizes = np.diff(cuts)
     end = np.repeat(cuts[1:], sizes)
-    found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    found = [np.zeros((3, 0), dtype=np.int64)]
     rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
     step = 1
     while len(rows := rows[rows + step < end[rows]]):
-        ok = _similar(node.sketch, node.n, rows, rows + step, least, ratio)
-        found_a.append(rows[ok])
-        found_b.append(rows[ok] + step)
+        agree = _similar(node.sketch, node.n, rows, rows + step, least, ratio)
+        ok = agree > 0
+        found.append(np.stack([rows[ok], rows[ok] + step, agree[ok]]))
         step += 1
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return tuple(np.concatenate(found, axis=1))
 
 
-def _compare(nodes: DataFrame, least: int, ratio: float, rate: float, small: int, most_depth: int) -> DataFrame:
-    """Links (path null; cid, other) from small and dense nodes, and rows of large nodes one level deeper."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of complete small nodes from batches sorted by path."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        last = int(runs(table.column("path").to_numpy())[-2])
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None:
+        yield held
 
-    def emit(a, b):
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(a), none, pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(b)], names=["path", "cid", "n", "depth", "sketch", "other"])
 
-    def star(node, centre):
-        return emit(node.cid, np.full(len(node.cid), centre))
+_MET = "path bigint, cid bigint, centre bigint, agree int"
 
-    def deeper(table, node):
-        paths, row = _branch(table.column("path").to_numpy().astype(U64), _tokens(node.sketch), rate)
-        depth = int(table.column("depth")[0].as_py()) + 1
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(paths.astype(np.int64)), pa.array(node.cid[row]), pa.array(node.n[row]), pa.array(np.full(len(row), depth, dtype=np.int32)), pa.array([x.tobytes() for x in node.sketch[row]], pa.binary()), pa.nulls(len(row), pa.int64())],
-            names=["path", "cid", "n", "depth", "sketch", "other"],
-        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of complete or growing small nodes; the last node may go on
-        big = None  # (path, its first class if it is dense): the large node that is passing through
+def _meet(nodes: DataFrame, least: int, ratio: float) -> DataFrame:
+    """Small nodes: (path of a group of like members, cid, centre, agree), a row for each member.
+
+    ``centre`` is the member that the others resemble most, or, for one that does not resemble it, its best partner;
+    null for the centre itself.
+    """
 
-        def settle(table: pa.Table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_nodes(batches):
             node = _Node(table)
-            cuts = runs(table.column("path").to_numpy())
-            a, b = _all_pairs(node, cuts, least, ratio)
-            label = components(len(node.cid), a, b)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            return emit(node.cid[moved], node.cid[label[moved]])
+            a, b, agree = _all_pairs(node, runs(node.path), least, ratio)
+            if not len(a):
+                continue
+            group = components(len(node.cid), a, b)
+            one, two, like = np.r_[a, b], np.r_[b, a], np.r_[agree, agree]
+            mass = np.bincount(one, like, minlength=len(group))
+            members = np.unique(one)
+            # the centre of each group: most mass, then the smallest class
+            order = members[np.lexsort((node.cid[members], -mass[members], group[members]))]
+            first = order[runs(group[order])[:-1]]
+            centre_of = np.full(len(group), -1, dtype=np.int64)
+            centre_of[group[first]] = first
+            # each member's best partner: its centre where they are alike, else whom it resembles most
+            to_centre = two == centre_of[group[one]]
+            rank = np.lexsort((node.cid[two], -like, ~to_centre, one))
+            best = rank[runs(one[rank])[:-1]]
+            member, partner, value = one[best], two[best], like[best]
+            own = member == centre_of[group[member]]
+            path = mix64(node.path[group[member]].astype(U64) ^ mix64(node.cid[group[member]])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(path), pa.array(node.cid[member]), pa.array(node.cid[partner], mask=own), pa.array(value.astype(np.int32), mask=own)], names=["path", "cid", "centre", "agree"]
+            )
+            release()
+
+    return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, _MET)
+
+
+def _open_pairs(nodes: DataFrame, least: int, ratio: float) -> DataFrame:
+    """a, b: the similar pairs within small nodes whose members have different labels."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_nodes(batches):
+            node, label = _Node(table), table.column("label").to_numpy()
+            a, b, _ = _all_pairs(node, runs(node.path), least, ratio)
+            apart = label[a] != label[b]
+            a, b = node.cid[a[apart]], node.cid[b[apart]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            release()
+
+    return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a bigint, b bigint")
+
+
+def _judge(samples: DataFrame, least: int, ratio: float) -> DataFrame:
+    """path, dense, consensus: from a bounded list of (n, sketch) for each large node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if big is not None:
-                paths = table.column("path").to_numpy()
-                same = int((paths == big[0]).sum())
-                if same:
-                    part = table.slice(0, same)
-                    yield star(_Node(part), big[1]) if big[1] is not None else deeper(part, _Node(part))
-                    table = table.slice(same)
-                if table.num_rows == 0:
-                    continue
-                big = None
-            table = pa.concat_tables([held, table]) if held is not None else table
-            held = None
-            paths = table.column("path").to_numpy()
-            cuts = runs(paths)
-            done = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo <= small:
+            dense, consensus = [], []
+            for some in batch.column("some"):
+                drawn = some.as_py()
+                n = np.array([x["n"] for x in drawn])
+                s = np.frombuffer(b"".join(x["sketch"] for x in drawn), dtype=np.uint8).reshape(-1, POSITIONS)
+                x, y = np.triu_indices(len(n), 1)
+                dense.append(bool(len(x) and (_similar(s, n, x, y, least, ratio) > 0).mean() >= 0.25))
+                consensus.append(bytes(int(np.bincount(s[:, i]).argmax()) for i in range(POSITIONS)))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(dense), pa.array(consensus, pa.binary())], names=["path", "dense", "consensus"])
+
+    return samples.mapInArrow(run, "path bigint, dense boolean, consensus binary")
+
+
+def _agreement(rows: DataFrame) -> DataFrame:
+    """path, cid, n, sketch, dense and how many positions of the sketch agree with ``consensus``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, c = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS) for x in ("sketch", "consensus"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("path", "cid", "n", "sketch", "dense")], pa.array((s == c).sum(axis=1).astype(np.int32))], names=["path", "cid", "n", "sketch", "dense", "agree"])
+
+    return rows.mapInArrow(run, "path bigint, cid bigint, n bigint, sketch binary, dense boolean, agree int")
+
+
+def _deeper(rows: DataFrame, rate: float) -> DataFrame:
+    """path, cid: the branches of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = _Node(batch)
+            paths, row = _branch(node.path.astype(U64), _tokens(node.sketch), rate)
+            yield pa.RecordBatch.from_arrays([pa.array(paths.astype(np.int64)), pa.array(node.cid[row])], names=["path", "cid"])
+
+    return rows.mapInArrow(run, "path bigint, cid bigint")
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the similarity, exactly."""
+    shared = shared_shingles(a, b)
+    return 100 * shared >= percent * (a.shape[1] + b.shape[1] - shared)
+
+
+class _Block:
+    """Sets that other sets are compared with, by an index from shingles to the sets that hold them."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
+        self.sizes = np.array([s.shape[1] for s in sets])
+        if len(sets) > 1:
+            shingles, owner = np.concatenate([s[0] for s in sets]), np.repeat(np.arange(len(sets)), self.sizes)
+            order = np.argsort(shingles, kind="stable")
+            cuts = runs(shingles[order])
+            self.keys, self.starts, self.ends, self.owner = shingles[order][cuts[:-1]], cuts[:-1], cuts[1:], owner[order]
+
+    def partners(self, other: np.ndarray) -> list[int]:
+        """Which sets are linked with ``other``: first by the index, which never misses one, then exactly."""
+        if len(self.sets) == 1:
+            return [0] if linked(self.sets[0], other, self.percent) else []
+        at = np.searchsorted(self.keys, other[0])
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == other[0]]
+        shared = np.bincount(self.owner[ranges(self.starts[at], self.ends[at])], minlength=len(self.sets))
+        likely = np.flatnonzero(100 * shared >= self.percent * (self.sizes + other.shape[1] - shared))
+        return [i for i in likely.tolist() if linked(self.sets[i], other, self.percent)]
+
+
+def _verify(wanted: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links (a, b) on whole texts: in each group g the rows of role 1 stream past the block of its rows of role 0.
+
+    ``wanted``: g, role, cid, label; rows of one label are connected already, and of the links between two labels one is given.
+    """
+    # the wanted texts grow with the corpus: never broadcast
+    rows = wanted.hint("merge").join(texts.hint("merge"), "cid").select("g", "role", "cid", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heads, sets, block, root = None, [], [], None, {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        for batch in batches:
+            found = []
+            column = [batch.column(c).to_pylist() for c in ("g", "role", "cid", "label")]
+            for g, role, cid, label, shingles in zip(*column, shingle_sets((t.as_py() for t in batch.column("text")), shingle_words), strict=True):
+                if g != group:
+                    group, heads, sets, block, root = g, [], [], None, {}
+                if role == 0:
+                    heads.append((cid, label))
+                    sets.append(shingles)
                     continue
-                part = table.slice(lo, hi - lo)
-                node = _Node(part)
-                sample = np.arange(min(len(node.cid), 128))
-                x, y = np.triu_indices(len(sample), 1)
-                dense = _similar(node.sketch, node.n, x, y, least, ratio).mean() > 0.25
-                centre = int(node.cid[0]) if dense or part.column("depth")[0].as_py() >= most_depth else None
-                yield star(node, centre) if centre is not None else deeper(part, node)
-                done.append((lo, hi))
-                if hi == len(paths):
-                    big = (paths[-1], centre)
-            keep = np.ones(len(paths), dtype=bool)
-            for lo, hi in done:
-                keep[lo:hi] = False
-            last = cuts[-2] if big is None else len(paths)
-            keep[last:] = False
-            ready = table.filter(pa.array(keep)) if not keep.all() else table
-            if big is None:
-                held = table.slice(last)
-            if ready.num_rows:
-                yield settle(ready)
-                release()
-        if held is not None:
-            yield settle(held)
-
-    return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, "path bigint, cid bigint, n bigint, depth int, sketch binary, other bigint")
-
-
-def confirm(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the sets' components: exact similarity, skipping pairs already connected."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    shingles, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    _, code = np.unique(shingles, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    by_code = owner[order]
-    starts = np.searchsorted(code[order], np.arange(code.max() + 1))
-    ends = np.r_[starts[1:], len(order)]
-    at = np.r_[0, np.cumsum(sizes)]
-    label = np.arange(m)
-    a, b = [], []
-    for i in range(m):
-        if (label == label[i]).all():
-            break
-        mine = code[at[i] : at[i + 1]]
-        shared = np.bincount(by_code[ranges(starts[mine], ends[mine])], minlength=m)
-        linked = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (label != label[i]))
-        for j in linked:
-            if label[j] != label[i]:
-                a.append(i)
-                b.append(int(j))
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-
-def near_duplicates(
-    documents: DataFrame,
-    shingle_words: int = 5,
-    percent: int = 80,
-    trees: int = 12,
-    start_depth: int = 2,
-    rate: float = 0.6,
-    small: int = 256,
-    most_depth: int = 9,
-    block: int = 1000,
-    id_column: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """id, n_shingles, component_id and kept for every document."""
+                if block is None and heads:
+                    block = _Block(sets, percent)
+                for i in block.partners(shingles) if block is not None else ():
+                    low, high = sorted((find(heads[i][1]), find(label)))
+                    if low != high:
+                        root[high] = low
+                        found.append((heads[i][0], cid))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        release()
+
+    return materialize(rows.repartition("g").sortWithinPartitions("g", "role").mapInArrow(run, "a bigint, b bigint"), "near-links")
+
+
+def _deal_pairs(pairs: DataFrame, block: int) -> DataFrame:
+    """Groups for :func:`_verify` of pairs (a, b): ``a`` and at most about ``block`` of its partners."""
+    blocks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "near-blocks")
+    placed = pairs.join(blocks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("g"))
+    heads = placed.select("g", F.lit(0).alias("role"), F.col("a").alias("cid")).distinct()
+    return heads.union(placed.select("g", F.lit(1).alias("role"), F.col("b").alias("cid"))).withColumn("label", F.col("cid"))
+
+
+def _deal_rest(hubs: DataFrame, block: int) -> DataFrame:
+    """Groups for :func:`_verify` of what is left open in dense nodes: rows (path, cid, centre, n, label).
+
+    Dense nodes whose centres are connected form one set of members. Of a pair that is still open, one member at
+    least is not connected to the centre: blocks of those, of bounded size, meet slices of all members.
+    """
+    main = hubs.where("cid = centre").select("path", F.col("label").alias("main"))
+    member = materialize(hubs.join(main, "path").groupBy("main", "cid").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-members")
+    aside = F.col("label") != F.col("main")
+    sums = member.groupBy("main").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(aside, 1)).alias("rest"), F.sum(F.when(aside, F.col("n"))).alias("size")).where("rest > 0")
+    # a block holds about ``block`` sets and 4,096 shingles for each place in it
+    cut = sums.select("main", F.ceil(F.greatest(F.col("rest") / block, F.col("size") / (4096 * block))).cast("int").alias("blocks"), F.ceil(F.col("members") / (8 * block)).cast("int").alias("slices"))
+    both = member.join(materialize(cut, "near-rest"), "main")
+    slot = lambda c, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = both.where(aside).withColumn("j", upto("slices")).select(F.xxhash64("main", slot("blocks", 1), "j").alias("g"), F.lit(0).alias("role"), "cid", "label")
+    every = both.withColumn("i", upto("blocks")).select(F.xxhash64("main", "i", slot("slices", 2)).alias("g"), F.lit(1).alias("role"), "cid", "label")
+    return rest.union(every)
+
+
+def _components(documents: DataFrame, id_column: str, text: str, shingle_words: int, percent: int, trees: int, start_depth: int, rate: float, small: int, most_depth: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, id, rest, n, k1, k2), and for each set (k1, k2, n) its component_id and the first row of its component."""
     least = int(np.floor(POSITIONS * (percent / 100 - 0.22)))
     ratio = percent / 100 - 1e-9
-    named = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.lit("no id"), F.col(text))).alias("key"), F.col(text).alias("text"))
-    sets = materialize(_sets(named, shingle_words), "near-sets")
-    grouped = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("sketch").alias("sketch"))
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in (id_column, text)]
+    named = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.struct(*others or [F.lit(0).alias("none")]).alias("rest"))
+    sets = materialize(_sets(named, shingle_words).withColumn("rid", F.monotonically_increasing_id()), "near-sets")
+    rank = F.struct(F.col("id").isNull().alias("nameless"), F.col("id").alias("id"), F.xxhash64("text").alias("h"), F.col("rid").alias("rid"))
+    grouped = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(rank).alias("head"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-
-    links = None
-    spent = []
-    grown = _shared(_grow(classes.select("cid", "sketch"), trees, start_depth, rate))
-    small_sketch = classes.select("cid", F.col("n"), F.concat(*[F.substring("sketch", 2 * i + 1, 1) for i in range(POSITIONS)]).alias("sketch"))
-    nodes = grown.join(small_sketch, "cid").select("path", "cid", "n", F.lit(start_depth).alias("depth"), "sketch")
-    for _ in range(start_depth, most_depth + 2):
-        step = materialize(_compare(nodes, least, ratio, rate, small, most_depth), "near-step")
-        spent.append(step)
-        found = step.where("path is null").select("cid", "other")
-        links = found if links is None else links.union(found)
-        nodes = step.where("path is not null").drop("other")
-        if nodes.isEmpty():
+    sketches = classes.select("cid", "n", F.concat(*[F.substring("sketch", 2 * i + 1, 1) for i in range(POSITIONS)]).alias("sketch"))
+
+    spent, met, hubs = [], [], []
+    level = materialize(_grow(classes.select("cid", "sketch"), trees, start_depth, rate), "near-nodes")
+    for depth in range(start_depth, most_depth + 1):
+        large = materialize(level.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > small).select("path"), "near-large")
+        cold = _shared(level.join(large, "path", "left_anti")).join(sketches, "cid").select("path", "cid", "n", "sketch")
+        met.append(materialize(_meet(cold, least, ratio), "near-met"))
+        spent += [level, large]
+        if large.isEmpty():
             break
-    candidates = connected_components(links.distinct(), "cid", "other")
+        rows = materialize(level.join(large, "path", "left_semi").join(sketches, "cid").select("path", "cid", "n", "sketch"), "near-rows")
+        drawn = rows.groupBy("path", F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(SAMPLE))).agg(F.min_by(F.struct("n", "sketch"), F.xxhash64("cid", F.lit(8))).alias("one"))
+        judged = _judge(drawn.groupBy("path").agg(F.collect_list("one").alias("some")), least, ratio)
+        if depth == most_depth:  # no further branching: compare what is left, whatever it is
+            judged = judged.withColumn("dense", F.lit(True))
+        marked = materialize(_agreement(rows.join(materialize(judged, "near-judged"), "path")), "near-marked")
+        hub = marked.where("dense").groupBy("path").agg(F.max_by("cid", F.struct("agree", -F.col("cid"))).alias("centre"))
+        hubs.append(materialize(marked.where("dense").join(hub, "path"), "near-hubs"))
+        level = materialize(_deeper(marked.where("not dense"), rate), "near-nodes")
+        spent += [rows, marked]
+    spent.append(level)
+
+    star = [m.where("centre is not null").select("cid", "centre", "agree") for m in met] + [h.where((F.col("agree") >= least) & (F.col("cid") != F.col("centre"))).select("cid", "centre", "agree") for h in hubs]
+    best = _all(star).groupBy("cid").agg(F.max_by("centre", F.struct("agree", -F.col("centre"))).alias("centre"))
+    first_pairs = materialize(best.select(F.col("centre").alias("a"), F.col("cid").alias("b")), "near-first")
+    concerned = _all([m.select("cid") for m in met] + [h.select("cid") for h in hubs]).distinct()
+    texts = classes.join(concerned.hint("merge"), "cid").select("cid", F.col("head.rid").alias("rid")).hint("merge").join(sets.select("rid", "text").hint("merge"), "rid").select("cid", "text")
+    texts = materialize(texts, "near-texts")
+    confirmed = _verify(_deal_pairs(first_pairs, block), texts, shingle_words, percent)
+    final = connected_components(confirmed, "a", "b")
 
-    groups = materialize(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "near-groups")
-    known = classes.select(F.col("cid").alias("node"), "k1", "k2", "key")
-    member = materialize(candidates.join(groups, "component").join(known, "node"), "near-members")
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+
+    known = materialize(labelled(_all([m.select("path", "cid") for m in met])), "near-known")
+    still = known.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
+    more = _open_pairs(known.join(still, "path", "left_semi").join(sketches, "cid").select("path", "cid", "n", "sketch", "label"), least, ratio)
+    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    links = [confirmed]
+    if not more.isEmpty():
+        links.append(_verify(_deal_pairs(more, block), texts, shingle_words, percent))
+    if hubs:
+        rest = materialize(_deal_rest(labelled(_all([h.select("path", "cid", "n", "centre") for h in hubs])), block), "near-dealt")
+        if not rest.isEmpty():
+            links.append(_verify(rest, texts, shingle_words, percent))
+    if len(links) > 1:
+        final = connected_components(_all(links), "a", "b")
+    for table in [*spent, *met, *hubs, known, texts]:
+        discard(table)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "g"):
-            sets_here: dict[int, np.ndarray] = {}
-            for node, k1, k2, value in zip(*[group.column(c) for c in ("node", "k1", "k2", "text")], strict=True):
-                if node.as_py() in sets_here:
-                    continue
-                shingles = shingle_set(value.as_py(), shingle_words)
-                if set_keys(shingles) == (k1.as_py(), k2.as_py()):
-                    sets_here[node.as_py()] = shingles
-            ids = np.array(sorted(sets_here), dtype=np.int64)
-            if len(ids) > 1:
-                a, b = confirm([sets_here[i] for i in ids.tolist()], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-            release()
+    joined = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    heads = materialize(joined.groupBy("component").agg(F.min("head.id").alias("component_id"), F.min("head").alias("first")), "near-heads")
+    labels = materialize(joined.join(heads, "component").select("k1", "k2", "n", "component_id", F.col("first.rid").alias("first_rid")), "near-labels")
+    return sets, labels
 
-    def compared(placed: DataFrame) -> DataFrame:
-        """Links among the classes that meet in one of their ``meets`` (an array for each row)."""
-        # the wanted classes grow with the corpus: never broadcast
-        wanted = materialize(placed.select("node", "k1", "k2", "key", F.array_distinct("meets").alias("meets")), "near-wanted")
-        texts = named.select("key", "text").join(wanted.hint("merge"), "key").select("node", "k1", "k2", "text", F.explode("meets").alias("g"))
-        return materialize(texts.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "a bigint, b bigint"), "near-links")
-
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    all_blocks = F.sequence(F.lit(0), blocks - 1)
-    # the group's smallest class goes to all its blocks, each other one to its own
-    first = F.when(F.col("node") == F.col("component"), F.transform(all_blocks, lambda j: F.xxhash64("component", j))).otherwise(F.array(F.xxhash64("component", mine)))
-    confirmed = compared(member.withColumn("meets", first))
-    final = connected_components(confirmed, "a", "b")
 
-    large = member.where(F.col("members") > block)
-    if not large.isEmpty():
-        named_parts = large.join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        parts = materialize(named_parts, "near-parts")
-        heads = parts.where("node = component").select("component", F.col("part").alias("main"))
-        open_groups = parts.join(heads, "component").where("part <> main").groupBy("component", "main").agg(F.count(F.lit(1)).alias("rest"))
-        open_groups = materialize(open_groups, "near-open")
-        # what the smallest class does not reach meets everything of its group; the rest is connected already
-        again = parts.join(open_groups, "component").withColumn("chunks", F.ceil(F.col("rest") / block).cast("int"))
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
-        with_rest = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.xxhash64("component", mine, i))
-        as_rest = F.transform(all_blocks, lambda j: F.xxhash64("component", j, own))
-        meets = F.when(F.col("part") == F.col("main"), with_rest).otherwise(F.concat(with_rest, as_rest))
-        if not open_groups.isEmpty():
-            confirmed = confirmed.union(compared(again.withColumn("meets", meets)))
-            final = connected_components(confirmed, "a", "b")
-    for table in [*spent, groups]:
-        discard(table)
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.union(table)
+    return out
+
+
+#: Options of the operator: words of a shingle, percent of similarity, trees, depth at which they start, branching rate, members of a
+#: node that is compared as a whole, greatest depth, pairs of a text that one group compares.
+DEFAULTS = {"shingle_words": 5, "percent": 80, "trees": 12, "start_depth": 2, "rate": 0.6, "small": 256, "most_depth": 9, "block": 64}
 
-    labelled = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = materialize(labelled.groupBy("component").agg(F.min("id").alias("component_id")), "near-heads")
-    named_classes = materialize(labelled.join(heads, "component").select("k1", "k2", "n", "component_id"), "near-labels")
-    out = sets.select("id", "n", "k1", "k2").join(named_classes, ["k1", "k2", "n"], "left")
+
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """id, n_shingles, component_id and kept (id = component_id) for every row; see ``DEFAULTS`` for options."""
+    sets, labels = _components(documents.select(id_column, text), id_column, text, **{**DEFAULTS, **options})
+    out = sets.select("id", "n", "k1", "k2").join(labels, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` without near-duplicates: of each component one row stays, of blank texts every row.
+
+    The decision is made for each row: of the rows of a component the first by id (null last), then by a hash of the text.
+    """
+    sets, labels = _components(documents, id_column, text, **{**DEFAULTS, **options})
+    out = sets.select("rid", "id", "text", "rest", "n", "k1", "k2").join(labels, ["k1", "k2", "n"], "left").where("n = 0 or rid = first_rid")
+    kind = documents.schema[id_column].dataType
+    own = {id_column: F.col("id").cast(kind), text: F.col("text")}
+    return out.select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in documents.columns])
+
+
 def op7_near_duplicates(documents: DataFrame) -> DataFrame:
     """Components of documents linked at similarity 0.8 of two-word shingles."""
     return near_duplicates(documents, shingle_words=2)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldlink.llm.common import U64, mix64, prefix_hashes, release, runs, span_hashes
+from goldlink.llm.common import U64, content_hashes, release, runs, word_spans
 
 SHAPES, WORDS, FACTS = 2048, 8192, 512
 _KIND = np.arange(256, dtype=np.uint8)
@@ -39,13 +39,6 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    white = np.ones(len(data) + 2, dtype=bool)
-    white[1:-1] = _WHITE[data]
-    edges = np.flatnonzero(white[1:] != white[:-1])
-    return edges[::2], edges[1::2]
-
-
 def _counts(hashes: np.ndarray, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and log counts, scaled to unit length."""
     if not len(hashes):
@@ -62,20 +55,18 @@ def _number(first: int, x: float, steps: int = 16, weight: float = 1.0) -> tuple
 
 def _text_hash(value: str | None, salt: int) -> int:
     data = np.frombuffer(("\0" if value is None else value).encode(), dtype=np.uint8)
-    return int(mix64(span_hashes(prefix_hashes(data), np.array([0]), np.array([len(data)])) ^ U64(salt))[0])
+    return int(content_hashes(data, np.array([0]), np.array([len(data)]))[0][0] >> U64(salt))
 
 
 def features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(indices, values) of the content view and of the metadata view."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    starts, ends = _words(data)
     lower = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
-    words = span_hashes(prefix_hashes(lower), starts, ends) if len(starts) else np.zeros(0, dtype=U64)
+    words = content_hashes(lower, *word_spans(data))[0]
     kinds = np.where(_WHITE[data], np.uint8(0), _KIND[data])
     keep = np.r_[True, kinds[1:] != kinds[:-1]] if len(kinds) else np.zeros(0, dtype=bool)
     packed = kinds[keep]
-    s, e = _words(np.where(packed == 0, np.uint8(0x20), packed)) if len(packed) else (np.zeros(0, dtype=np.int64),) * 2
-    shapes = span_hashes(prefix_hashes(packed), s, e) if len(s) else np.zeros(0, dtype=U64)
+    shapes = content_hashes(packed, *word_spans(np.where(packed == 0, np.uint8(0x20), packed)))[0]
     n = len(words)
     distinct = len(np.unique(words)) / n if n else 1.0
     again = float((words[1:] == words[:-1]).mean()) if n > 1 else 0.0

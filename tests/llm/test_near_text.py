@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from goldlink.llm import near_text
-from goldlink.llm.common import shingle_set
+from goldlink.llm.common import shingle_set, shingle_sets
 from tests.llm.helpers import SF, edge_documents, rows
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -71,7 +71,7 @@ def test_large_groups_branching_scans_and_blocks(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     check(df, 2)
     check(df, 2, small=16, block=25)
-    check(df, 2, small=4, most_depth=4, block=1000)
+    check(df, 2, small=4, most_depth=4, block=10)
 
 
 def test_edges(spark):
@@ -82,11 +82,35 @@ def test_edges(spark):
 
 
 def test_threshold_is_exact():
-    a = np.sort(np.arange(100, dtype=np.uint64))
-    link = lambda x, y: len(near_text.confirm([x, y], 80)[0])
-    assert link(a, a[:80]) == 1 and link(a, a[:79]) == 0
+    a = np.stack([np.arange(100, dtype=np.uint64)] * 2)
+    assert near_text.linked(a, a[:, :80], 80) and not near_text.linked(a, a[:, :79], 80)
+    other = a.copy()
+    other[1, 79:] += np.uint64(1)  # equal in half of the digest only
+    assert not near_text.linked(a, other, 80)
+
+
+def test_words_that_defeat_power_sums_stay_apart(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_text.near_duplicates(df, shingle_words=2))}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_rows_are_decided_one_by_one(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuv")
+    data = [(3, t, 1), (5, t, 2), (5, u, 3), (7, v, 4), (7, v, 5), (None, u, 6), (None, None, 7), (None, None, 8), (9, " ", 9)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, rid int")
+    got = [(r["doc_id"], r["text"]) for r in rows(near_text.deduplicate(df))]
+    assert sorted(got, key=repr) == sorted([(3, t), (5, u), (7, v), (None, None), (None, None), (9, " ")], key=repr)
+    assert near_text.deduplicate(df).columns == df.columns and near_text.deduplicate(df.limit(0)).count() == 0
 
 
 def test_shingles_of_few_words():
-    assert len(shingle_set("One two", 5)) == 1 and len(shingle_set(" \t", 2)) == 0 and len(shingle_set(None, 2)) == 0
-    assert (shingle_set("A\tb  c", 2) == shingle_set("a b\nC", 2)).all() and len(shingle_set("x x x x", 2)) == 1
+    size = lambda text, n: shingle_set(text, n).shape[1]
+    assert size("One two", 5) == 1 and size(" \t", 2) == 0 and size(None, 2) == 0 and size("x x x x", 2) == 1
+    assert (shingle_set("A\tb  c", 2) == shingle_set("a b\nC", 2)).all()
+    texts = ["one two three", None, "", "x " * 50 + "y" * 70, "a b", " lead trail "]
+    assert all((a == shingle_set(t, 2)).all() for a, t in zip(shingle_sets(texts, 2, at_once=16), texts))
