@@ -12,8 +12,11 @@
    starting block and the following ones, cyclically, fill the quota; a quota beyond the number of
    blocks takes whole passes over the source first.
 
+Rows that are equal in every column are counted first and take one place in the order, one copy after the other, so
+that neither a bucket nor a result depends on how many there are or where they come from; each copy has pieces of its own.
+
 Defined results: a null source is a source of its own, ordered last; null or empty texts have size 0 and are
-taken 0 times; rows equal in key, source and size are interchangeable; an empty input gives an empty
+taken 0 times; ties in key are ordered by text, then by the other columns; an empty input gives an empty
 output; an input column with the name of an output column is replaced.
 """
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from goldlink.plans.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the blanks before it; the last one also with those behind it. Joined, they give the text again.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"
 OUTPUTS = ("size", "source_size", "target", "pieces", "taken")
 
 
@@ -37,7 +42,8 @@ def n_words(text: str) -> Column:
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """source, source_size, n_docs, place, target: one row for each source."""
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    copies = F.col("copies") if "copies" in sized.columns else F.lit(1)
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * copies).cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     every = W.orderBy(F.col("source").asc_nulls_last())
     ranked = stats.withColumn("place", F.row_number().over(every) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))) + 1)
@@ -77,15 +83,22 @@ def mix(
     seed: int = 20240606,
     bucket_rows: int = 2048,
     text: str = "text",
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, pieces, taken, and the columns to ``carry``, for each document.
+    """doc_id, source, size, source_size, target, pieces, taken for each row of ``documents``.
 
     ``pieces`` are structs of shard, epoch, from_word and to_word (words of the document, end excluded) that
     the mix takes; ``taken`` is their total length.
     """
-    spark = documents.sparkSession
-    sized = materialize(documents.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", n_words(text)).alias("h"), *carry), "mix-sizes")
+    placed = _place(documents.withColumn("__row", F.lit(0).cast("long")), weights, n_shards, block_words, max_epochs, seed, bucket_rows, text)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "pieces", "taken")
+
+
+def _place(documents: DataFrame, weights: Sequence[float], n_shards: int, block_words: int, max_epochs: int, seed: int, bucket_rows: int, text: str) -> DataFrame:
+    """What :func:`mix` returns, and the ``row`` of an equal row of ``documents`` (the smallest ``__row``)."""
+    others = [F.col(f"`{c}`") for c in sorted(documents.columns) if c not in ("doc_id", "source", text, "__row")]
+    rest = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    bare = documents.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("h"), F.xxhash64(text).alias("of_text"), rest.alias("of_rest"), F.col("__row").alias("row"))
+    sized = materialize(bare.groupBy("doc_id", "source", "size", "h", "of_text", "of_rest").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "mix-sizes")
     targets = materialize(source_targets(sized, weights, max_epochs), "mix-targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     block = F.lit(block_words).cast("long")
@@ -108,35 +121,51 @@ def mix(
 
     near = chosen.select(F.col("source").alias("s"), "place", "buckets")
     rows = sized.join(near, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
-    sums = rows.groupBy("place", "bucket").agg(F.sum("size").alias("in_bucket"))
-    starts = materialize(sums.select("place", "bucket", (F.sum("in_bucket").over(W.partitionBy("place").orderBy("bucket")) - F.col("in_bucket")).alias("start")), "mix-starts")
-    along = W.partitionBy("place", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.withColumn("end", F.sum("size").over(along)).join(starts, ["place", "bucket"]).withColumn("end", F.col("start") + F.col("end"))
-    placed = placed.withColumn("begin", F.col("end") - F.col("size"))
-    wide = placed.join(chosen.select("place", "source_size", "target", "spans"), "place")
+    # running sums in two steps, so that no task takes all buckets of a source
+    sums = rows.groupBy("place", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("in_bucket")).withColumn("part", F.floor(F.col("bucket") / 4096))
+    sums = materialize(sums, "mix-buckets")
+    parts = sums.groupBy("place", "part").agg(F.sum("in_bucket").alias("in_part"))
+    parts = parts.select("place", "part", (F.sum("in_part").over(W.partitionBy("place").orderBy("part")) - F.col("in_part")).alias("base"))
+    inner = F.sum("in_bucket").over(W.partitionBy("place", "part").orderBy("bucket")) - F.col("in_bucket")
+    starts = sums.withColumn("inner", inner).join(parts, ["place", "part"])
+    starts = materialize(starts.select("place", "bucket", (F.col("base") + F.col("inner")).alias("start")), "mix-starts")
+    along = W.partitionBy("place", "bucket").orderBy("h", "doc_id", "size", "of_text", "of_rest").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(along)).join(starts, ["place", "bucket"])
+    placed = placed.withColumn("first", F.col("start") + F.col("end") - F.col("size") * F.col("copies"))
+    # copies of a row one by one: runs of 1,000 first, so that many copies spread over tasks
+    spread = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1000).cast("long"))))
+    many = spread.where("copies > 1000").repartition("place", "bucket", "h", "run")
+    single = spread.where("copies <= 1000").unionByName(many)
+    single = single.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + 999, F.col("copies") - 1))))
+    single = single.withColumn("begin", F.col("first") + F.col("copy") * F.col("size")).withColumn("end", F.col("begin") + F.col("size"))
+    wide = single.join(chosen.select("place", "source_size", "target", "spans"), "place")
     hit = F.filter("spans", lambda s: (s["lo"] < F.col("end")) & (s["hi"] > F.col("begin")))
     piece = lambda s: F.struct(s["shard"].alias("shard"), s["epoch"].alias("epoch"), (F.greatest(s["lo"], F.col("begin")) - F.col("begin")).alias("from_word"), (F.least(s["hi"], F.col("end")) - F.col("begin")).alias("to_word"))
     pieces = F.when((F.col("size") > 0) & F.col("spans").isNotNull(), F.transform(hit, piece)).otherwise(F.array().cast("array<struct<shard:int,epoch:int,from_word:bigint,to_word:bigint>>"))
-    out = wide.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"), *carry)
+    out = wide.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"), "row")
     return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["to_word"] - p["from_word"]))
 
 
-def mixed_rows(documents: DataFrame, **options) -> DataFrame:
+def mixed_rows(
+    documents: DataFrame, weights: Sequence[float] = (5, 2, 1), n_shards: int = 8, block_words: int = 16, max_epochs: int = 3, seed: int = 20240606, bucket_rows: int = 2048
+) -> DataFrame:
     """The mix itself: a row of ``documents`` for each piece, with the piece's text and ``n_chars``, if there is such a column.
 
-    A piece that is the whole document keeps its text as it is; of a part, the words are joined by single blanks. Rows equal
-    in id and text get the same pieces.
+    A piece that is the whole document keeps its text as it is. Of a part, each word keeps the blanks before it, and
+    the last word those behind it: the pieces of one pass over a document, joined, give its text.
     """
-    keyed = documents.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    chosen = mix(keyed, carry=["__uid"], **options).where(F.size("pieces") > 0).select("__uid", F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
-    joined = keyed.join(chosen.dropDuplicates(["__uid"]), "__uid").withColumn("__piece", F.explode("__pieces"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.slice(words, (F.col("__piece.from_word") + 1).cast("int"), (F.col("__piece.to_word") - F.col("__piece.from_word")).cast("int")), " ")
+    # rows are numbered in a table, as numbers given on the fly may change when a task runs again
+    numbered = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = _place(numbered, weights, n_shards, block_words, max_epochs, seed, bucket_rows, "text")
+    chosen = chosen.where(F.size("pieces") > 0).select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.explode("pieces").alias("__piece"))
+    joined = numbered.join(chosen, "__row")
+    words = F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))
+    part = F.array_join(F.slice(words, (F.col("__piece.from_word") + 1).cast("int"), (F.col("__piece.to_word") - F.col("__piece.from_word")).cast("int")), "")
     whole = (F.col("__piece.from_word") == 0) & (F.col("__piece.to_word") == F.col("__size"))
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*documents.columns)
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6_mixing(documents: DataFrame) -> DataFrame:

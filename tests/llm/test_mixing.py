@@ -73,3 +73,26 @@ def test_pieces_tile_whole_epochs(spark):
         for epoch in range(3):
             spans = sorted((p["from_word"], p["to_word"]) for p in r["pieces"] if p["epoch"] == epoch)
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(0 <= a < b <= r["size"] for a, b in spans)
+
+
+def test_copies_have_pieces_of_their_own(spark):
+    data = [(7, "a b  c\n d e f\tg " * 10, "x", "en", 160)] * 40 + [(None, f"w{i} " * 30, "y", "de", 90) for i in range(20)] + [(None, f"w{i % 3} " * 30, "z", None, None) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    words = lambda got: {s: sum(len(r["text"].split()) for r in got if r["source"] == s) for s in "xyz"}
+    got, again = rows(mixing.mixed_rows(df)), rows(mixing.mixed_rows(df.repartition(7)))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    taken = rows(mixing.mix(df))
+    check(data_rows(df), taken)
+    assert words(got) == {s: sum(r["taken"] for r in taken if r["source"] == s) for s in "xyz"}
+    assert all(r["text"] in t for r in got for t in [next(t for _, t, s, _, _ in data if s == r["source"] and r["text"] in t)])
+
+
+def test_pieces_of_one_pass_give_the_text_again(spark):
+    text = "  def f(x):\n\treturn x  # é\n\n" * 60
+    df = spark.createDataFrame([(1, text, "a"), (2, "filler " * 5000, "b")], "doc_id bigint, text string, source string")
+    got = [r["text"] for r in rows(mixing.mixed_rows(df, weights=(1, 1), n_shards=3)) if r["doc_id"] == 1]
+    assert "".join(sorted(got, key=len)).count("def f(x):\n\treturn x") >= 55 and all(t in text for t in got)
+
+
+def data_rows(df):
+    return rows(df.select("doc_id", "text", "source"))
