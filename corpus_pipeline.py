@@ -1,8 +1,8 @@
 """The corpus pipeline: quality filter, near-duplicates, repeated passages, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
-the columns of ``documents``; what a stage decides is applied to the rows it returns. Rows with a null id
-pass the stages that compare ids; an empty input passes through.
+the columns of ``documents``; what a stage decides is applied to the rows it returns, row by row, also where
+ids repeat or are null. An empty input passes through. A stage's table goes once the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldlink.llm import bpe, mixing, near_text, quality, suffix
-from goldlink.plans.scratch import materialize
+from goldlink.plans.scratch import discard_since, materialize, tables
 from goldlink.plans.workers import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,11 +24,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at similarity 0.8 of five-word shingles, the smallest id stays."""
+    """Of each group of documents linked at similarity 0.8 of five-word shingles, one row stays; blank texts stay."""
     ship(spark)
-    found = near_text.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return near_text.deduplicate(docs.select(*COLUMNS))
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are a table that the next one reads."""
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    started = tables()
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{number}")
+            discard_since(started, keep=docs)
     return docs

@@ -2,7 +2,7 @@
 
 Iterative operators cut lineage by writing a small Parquet table and reading it back. The folder is
 the one named by ``spark.checkpoint.dir``; one under the temporary folder is used only where that
-setting is absent (local mode and tests). A table outlives lost executors, unlike cached or
+setting is absent and the driver is the only machine (local mode and tests). A table outlives lost executors, unlike cached or
 locally checkpointed blocks. Tables that are still needed when an operator returns, as its lazy
 result reads them, are deleted when the application ends, or earlier by :func:`sweep`.
 """
@@ -23,10 +23,12 @@ _LIVE: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is set."""
+    """The cluster's shared folder, or in local mode a temporary one where none is set."""
     configured = spark.conf.get(_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_SETTING} to a folder that all machines share: executors must not write to disks of their own")
     return os.path.join(tempfile.gettempdir(), "checkpoints", "goldlink")
 
 
@@ -53,6 +55,18 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def tables() -> set[str]:
+    """The tables that are there now."""
+    return set(_LIVE)
+
+
+def discard_since(before: set[str], keep: DataFrame | None = None) -> None:
+    """Delete the tables written after :func:`tables` gave ``before``, except the one behind ``keep``."""
+    kept = getattr(keep, "_scratch_path", None)
+    for path in [p for p in _LIVE if p not in before and p != kept]:
+        _delete(_LIVE.pop(path), path)
+
+
 def sweep() -> None:
     """Delete all tables that are left; DataFrames that read them can no longer be used."""
     while _LIVE:
