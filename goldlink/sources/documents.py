@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldlink.operators.extract import parse_blocks, parse_resumes
+from goldlink.plans.scratch import materialize
 from goldlink.plans.workers import ship
 
 
@@ -28,7 +29,7 @@ def read_notes(spark: SparkSession, paths: list[str], require_key: bool = False)
 
 
 def pdf_text(content: pd.Series) -> pd.Series:
-    """Text of all pages, joined by line feeds; null without a PDF library or for unreadable files."""
+    """Text of all pages, joined by line feeds; empty where there is none, null for unreadable files or without a PDF library."""
     try:
         from pypdf import PdfReader
     except ImportError:
@@ -37,19 +38,21 @@ def pdf_text(content: pd.Series) -> pd.Series:
     def one(data: bytes) -> str | None:
         try:
             pages = [page.extract_text() for page in PdfReader(io.BytesIO(data)).pages]
-        except Exception:  # a damaged file gives no record, as the reader's contract says
+        except Exception:  # a damaged file is reported, as the reader's contract says
             return None
-        return "\n".join(p for p in pages if p) or None
+        return "\n".join(p for p in pages if p)
 
     return content.map(one)
 
 
 def read_pdf(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """Records of the files' texts; files whose text cannot be read are reported."""
     ship(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"source_path": part["source_path"], "text": pdf_text(part["content"])})
 
-    files = _binary(spark, paths).mapInPandas(run, "source_path string, text string").where("text is not null")
-    return parse_resumes(files), []
+    files = materialize(_binary(spark, paths).mapInPandas(run, "source_path string, text string"), "pdf-text")
+    bad = sorted(r[0] for r in files.where("text is null").select("source_path").collect())  # names of files only
+    return parse_resumes(files.where("text is not null")), bad

@@ -51,9 +51,10 @@ def empty_records(spark: SparkSession) -> DataFrame:
 
 
 def number(records: DataFrame, paths: list[str]) -> DataFrame:
-    """record_id: the file's place among the sorted paths, then the place in the file. No shuffle, no global sort."""
-    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p), F.lit(i))])
-    numbered = records.withColumn("record_id", F.shiftleft(place[F.col("source_path")].cast("long"), FILE_BITS) + F.col("position"))
+    """record_id: the file's place among the sorted paths, then the place in the file. No global sort."""
+    # one row a file; Spark broadcasts it only while it is small
+    place = records.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "source_path string, place bigint")
+    numbered = records.join(place, "source_path").withColumn("record_id", F.shiftleft("place", FILE_BITS) + F.col("position"))
     names = [c.split()[0] for c in RECORD.split(", ") if c.split()[0] in numbered.columns]
     return numbered.select(*names)
 

@@ -12,7 +12,7 @@ from goldlink.operators.score import score
 from goldlink.operators.validate import validate
 from goldlink.plans import pipeline
 from goldlink.plans.policy import ProjectionConfig
-from goldlink.sources import delimited, documents, registry
+from goldlink.sources import delimited, documents, registry, semistructured
 from tests.test_linkage import frame, record
 
 
@@ -91,12 +91,22 @@ def test_csv(spark, tmp_path):
     (tmp_path / "head.CSV").write_text("name,email\n")
     (tmp_path / "skip.xyz").write_text("x")
     got, failed = read(spark, tmp_path)
-    assert set(got) == {"Ada Byte", 'Quo "T", Jr.', "Short"} and failed == []
+    assert set(got) == {"Ada Byte", 'Quo "T", Jr.', "Short"} and failed == ["bad.csv"]
     ada = got["Ada Byte"]
     assert (ada.emails, ada.phones, ada.skills, ada.location, ada.current_company, ada.source_type) == (["ADA@x.co"], ["212-555-0142"], ["Go", "ml", "SQL"], "Boston US", "Acme", "csv")
     assert got['Quo "T", Jr.'].current_company == "Last" and json.loads(ada.raw_metadata)["original_row"]["extra"] == "?"
     assert ada.record_id < got["Short"].record_id
-    assert delimited.read_one(spark, f"file://{tmp_path}/a.csv", strict=True) is None
+    assert delimited.read(spark, [f"file:{tmp_path}/a.csv"], strict=True)[0].count() == 0
+
+
+def test_many_csv_files_are_one_plan(spark, tmp_path):
+    for i in range(40):
+        head, cell = [("name,email", f"N{i},e{i}@x.co"), ("E-MAIL,id,Full Name", f"e{i}@x.co,7,N{i}"), ('"na""me",mail', f"?,e{i}@x.co")][i % 3]
+        (tmp_path / f"f{i:02d}.csv").write_text(f"{head}\n{cell}\n,\nSecond,,Second\n")
+    records, failed = registry.extract(spark, registry.discover(spark, f"file://{tmp_path}"))
+    rows = sorted(records.collect(), key=lambda r: r["record_id"])
+    assert failed == [] and [r["emails"] for r in rows if r["emails"] and r["emails"][0] != "Second"] == [[f"e{i}@x.co"] for i in range(40)]
+    assert {(r["record_id"] >> registry.FILE_BITS) for r in rows} == set(range(40)) and max(r["position"] for r in rows) == 3
 
 
 def test_json(spark, tmp_path):
@@ -109,8 +119,12 @@ def test_json(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"candidate_name": "Cy"}))
     for name, text in (("c", "null"), ("d", "42"), ("e", ""), ("f", "{broken")):
         (tmp_path / f"{name}.json").write_text(text)
-    got, _ = read(spark, tmp_path)
-    assert set(got) == {"Ann", "Bob", "only@x.co", "Cy"}
+    (tmp_path / "g.json").write_bytes(b'[{"name": "L\xff"}]')
+    (tmp_path / "h.json").write_text('{"name": "A", "email": "a@x.co", "name": "Dup", "phone": 2125550142.7, "x": NaN}')
+    (tmp_path / "i.json").write_text('[{"name": "Tail"}] {')
+    got, failed = read(spark, tmp_path)
+    assert set(got) == {"Ann", "Bob", "only@x.co", "Cy", "Dup"} and failed == ["f.json", "g.json", "i.json"]
+    assert got["Dup"].phones == ["2125550142"] and got["Dup"].emails == ["a@x.co"]
     ann, bob = got["Ann"], got["Bob"]
     assert (ann.emails, ann.phones, ann.skills, ann.location, ann.current_title, ann.links) == (["a@x.co"], ["2125550142"], ["Go", "SQL"], "Rome, Italy", "Dev", ["l", "m", "3"])
     assert bob.emails == ["b@x.co"] and bob.phones == ["1", "2"] and tuple(bob.experience[0]) == ("O", "P", "2020", "2021") and tuple(bob.education[0]) == ("U", "BS", "2019")
@@ -120,6 +134,29 @@ def test_json(spark, tmp_path):
 NOTES = "Heading\n=======\nAnn Lee:\nann@x.co\n(212) 555-0142\nWorks at Acme.\nrole: Lead\nFrom Paris\nStack; Go, SQL / R\nsee https://x.co/a 12\r\n---\n\nbob@x.co\nnothing else\n***\n \n"
 
 
+def test_json_comes_in_pieces():
+    people = [{"name": f"N{i}", "note": 'a "quoted" ]}, {[ text \\\\', "n": i * 1.5} for i in range(300)] + [1234567, "x", None, [1], {}]
+    for indent in (None, 1):
+        text = json.dumps(people, indent=indent)
+        for size in (1, 7, 1000, len(text)):
+            splitter, got = semistructured.Splitter(), []
+            for at in range(0, len(text), size):
+                got += splitter.feed(text[at : at + size])
+            got += splitter.feed("", last=True)
+            assert [i for i, _ in got] == [*range(300), 304] and [json.loads(x) for _, x in got] == [*people[:300], {}]
+    for bad in ("[{}", "[{} {}]", "[,]", "[{},]", "{} {}", "[1 2]", '{"a": }'):
+        splitter = semistructured.Splitter()
+        with pytest.raises(ValueError):
+            list(splitter.feed(bad)), list(splitter.feed("", last=True))
+
+
+def test_a_large_array_keeps_all_rows(spark, tmp_path):
+    one = json.dumps({"name": "N", "email": "e@x.co", "skills": ["s" * 900, "t" * 900]})
+    (tmp_path / "big.json").write_text("[" + ",".join([one] * 12_000) + "]")
+    records, failed = registry.extract(spark, registry.discover(spark, f"file://{tmp_path}"))
+    assert failed == [] and records.count() == 12_000
+
+
 def test_notes(spark, tmp_path):
     (tmp_path / "n.txt").write_text(NOTES)
     (tmp_path / "l.txt").write_bytes("Zoé\nz@x.co\n\n\n\nYann\ny@x.co\n".encode("latin-1"))
@@ -170,7 +207,7 @@ def test_resume_text(spark):
 
 def test_unreadable_pdf_gives_nothing(spark, tmp_path):
     (tmp_path / "r.pdf").write_bytes(b"%PDF-1.4 nothing")
-    assert read(spark, tmp_path) == ({}, [])
+    assert read(spark, tmp_path) == ({}, ["r.pdf"])
 
 
 def test_run_and_command_line(spark, tmp_path, capsys):
