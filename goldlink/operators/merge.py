@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldlink.functions.text import strip
+from goldlink.functions.text import let, strip
 from goldlink.plans.policy import EnginePolicy
 from goldlink.plans.schema import VALUE, field_type, provenance_type
 
@@ -33,20 +33,29 @@ def _field(value: Column, confidence: Column, provenance: Column, field: str) ->
 
 def merge_scalar(members: Column, field: str, policy: EnginePolicy = EnginePolicy()) -> Column:
     """Most trusted value; among equal trust the longest, then the earliest record. If all agree, a bonus for each further record."""
-    given = F.filter(members, lambda m: strip(m[field]) != "")
-    n = F.size(given)
-    first = F.get(given, F.lit(0))
-    forms = F.array_distinct(F.transform(given, lambda m: F.lower(strip(m[field]))))
-    top = F.filter(given, lambda m: m["trust"] == first["trust"])
-    longest = F.array_max(F.transform(top, lambda m, i: F.struct(F.length(m[field]).alias("length"), (-i).alias("late"))))
-    best = F.get(top, -longest["late"])
-    agreed = (n > 1) & (F.size(forms) == 1)
-    winner = F.when((n == 1) | agreed, first).otherwise(best)
-    weight = policy.weight(winner["source_type"], policy.unknown_confidence)
-    confidence = F.when(agreed, F.least(weight + policy.agreement_bonus * (n - 1), F.lit(policy.most))).otherwise(weight)
-    method = F.when(n == 1, "direct").when(agreed, "agreement").otherwise("trust_weight")
     empty = _field(F.lit(None).cast("string"), F.lit(0.0), F.array().cast(f"array<{provenance_type(field)}>"), field)
-    return F.when(n > 0, _field(winner[field], confidence, F.array(_source(winner, field, winner[field], method)), field)).otherwise(empty)
+    # what the rules need of a record; each step is bound once
+    form = lambda m: F.struct(m["trust"].alias("trust"), m["source_type"].alias("source_type"), m["source_path"].alias("source_path"), m[field].alias(field), strip(m[field]).alias("bare"))
+    given = F.filter(F.transform(members, form), lambda m: m["bare"] != "")
+
+    def resolved(g: Column) -> Column:
+        n, first = F.size(g), F.get(g, F.lit(0))
+        alike = F.size(F.array_distinct(F.transform(g, lambda m: F.lower(m["bare"])))) == 1
+        # of the most trusted values the longest, then the earliest: the greatest of (length, -place)
+        rank = lambda m, i: F.when(m["trust"] == first["trust"], F.struct(F.length(m[field]).alias("length"), (-i).alias("late")))
+        best = F.get(g, -F.array_max(F.transform(g, rank))["late"])
+        picked = F.struct(alike.alias("alike"), F.when(alike, first).otherwise(best).alias("winner"), n.alias("n"))
+
+        def made(p: Column) -> Column:
+            winner, agreed = p["winner"], (p["n"] > 1) & p["alike"]
+            weight = policy.weight(winner["source_type"], policy.unknown_confidence)
+            confidence = F.when(agreed, F.least(weight + policy.agreement_bonus * (p["n"] - 1), F.lit(policy.most))).otherwise(weight)
+            method = F.when(p["n"] == 1, "direct").when(agreed, "agreement").otherwise("trust_weight")
+            return _field(winner[field], confidence, F.array(_source(winner, field, winner[field], method)), field)
+
+        return F.when(n > 0, let(picked, made)).otherwise(empty)
+
+    return let(given, resolved)
 
 
 def _key(field: str):
@@ -61,16 +70,27 @@ def merge_list(members: Column, field: str, policy: EnginePolicy = EnginePolicy(
     """Values of all records in order of trust, the first of each key; every record with a usable value counts as a source."""
     key = _key(field)
     usable = lambda m: F.exists(m[field], lambda v: key(v) != "")
-    sources = F.filter(members, lambda m: F.coalesce(usable(m), F.lit(False)))
-    n = F.size(sources)
-    values = F.filter(F.flatten(F.transform(sources, lambda m: m[field])), lambda v: key(v) != "")
-    keys = F.transform(values, key)
-    first = F.filter(F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.array_position(keys, F.get(keys, i)) == i + 1).alias("new"))), lambda x: x["new"])
-    weights = F.transform(sources, lambda m: policy.weight(m["source_type"], policy.unknown_confidence))
-    confidence = F.least(F.array_max(weights) + policy.agreement_bonus * (n - 1), F.lit(policy.most))
-    made = _field(F.transform(first, lambda x: x["v"]), confidence, F.transform(sources, lambda m: _source(m, field, m[field], "union")), field)
     empty = _field(F.array().cast(VALUE[field]), F.lit(0.0), F.array().cast(f"array<{provenance_type(field)}>"), field)
-    return F.when(n > 0, made).otherwise(empty)
+
+    def united(sources: Column) -> Column:
+        weights = F.transform(sources, lambda m: policy.weight(m["source_type"], policy.unknown_confidence))
+        confidence = F.least(F.array_max(weights) + policy.agreement_bonus * (F.size(sources) - 1), F.lit(policy.most))
+        values = _firsts(F.flatten(F.transform(sources, lambda m: m[field])), key)
+        return F.when(F.size(sources) > 0, _field(values, confidence, F.transform(sources, lambda m: _source(m, field, m[field], "union")), field)).otherwise(empty)
+
+    return let(F.filter(members, lambda m: F.coalesce(usable(m), F.lit(False))), united)
+
+
+def _firsts(values: Column, key) -> Column:
+    """The first value of each non-empty key, in order: by sorting (key, place), so in n log n for any number of values."""
+
+    def pick(vs: Column) -> Column:
+        keyed = F.filter(F.transform(vs, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"))), lambda x: x["k"] != "")
+        heads = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"]))
+        places = F.array_sort(F.transform(let(F.array_sort(keyed), heads), lambda x: x["i"]))
+        return F.transform(places, lambda i: F.get(vs, i))
+
+    return let(values, pick)
 
 
 def collect_members(records: DataFrame, policy: EnginePolicy = EnginePolicy()) -> DataFrame:

@@ -41,8 +41,9 @@ def union_find(n, edges):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 60, 40), (2, 200, 260), (3, 50, 400)])
-def test_components_random(spark, seed, n, m):
+@pytest.mark.parametrize("seed,n,m,local", [(1, 60, 40, 0), (2, 200, 260, 0), (3, 50, 400, 0), (1, 60, 40, 1000), (4, 300, 330, 1000)])
+def test_components_random(spark, monkeypatch, seed, n, m, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     rng = random.Random(seed)
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
     want = union_find(n, edges)
@@ -53,6 +54,7 @@ def test_components_random(spark, seed, n, m):
 
 def test_components_with_written_minima(spark, monkeypatch):
     monkeypatch.setattr(components, "SMALL", 0)
+    monkeypatch.setattr(components, "LOCAL", 0)
     rng = random.Random(9)
     edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(80)] + [(0, i) for i in range(60, 90)]
     want = union_find(90, edges)
@@ -60,7 +62,9 @@ def test_components_with_written_minima(spark, monkeypatch):
     assert got == {i: want[i] for i in {x for a, b in edges if a != b for x in (a, b)}}
 
 
-def test_components_shapes(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_shapes(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     path = [(i, i + 1) for i in range(120)]
     star = [(1000, 1000 + i) for i in range(1, 80)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path + star + [(5, 5), (None, 3)], "src bigint, dst bigint")).collect()}
