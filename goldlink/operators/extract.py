@@ -10,7 +10,6 @@ from goldlink.functions.text import capture, filled, find_all, split_filled, str
 from goldlink.plans.schema import EDUCATION, EXPERIENCE
 
 
-
 def lines_of(text: Column) -> Column:
     """Stripped non-blank lines."""
     return split_filled(F.regexp_replace(text, "\r\n?", "\n"), "\n")
@@ -31,10 +30,11 @@ def section(lines: Column, name: str) -> Column:
 
     Lines before any header belong to no section, and a repeated header starts its section anew.
     """
-    header = lambda x, body: x.rlike(rf"(?i)^\s*{body}\s*:?\s*$")
-    anything = "(?:" + "|".join(d.SECTIONS.values()) + ")"
-    at = F.filter(F.transform(lines, lambda x, i: F.when(header(x, d.SECTIONS[name]), i)), lambda i: i.isNotNull())
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(header(x, anything), i)), lambda i: i.isNotNull())
+    bare = F.transform(lines, lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"\s*:?\s*$", ""), r"\s+", "")))
+    words = lambda names: [n.replace(" ", "") for n in names]
+    places = lambda names: F.filter(F.transform(bare, lambda x, i: F.when(x.isin(words(names)), i)), lambda i: i.isNotNull())
+    at = places(d.SECTIONS[name])
+    heads = places([n for names in d.SECTIONS.values() for n in names])
     start = F.array_max(at)
     stop = F.coalesce(F.array_min(F.filter(heads, lambda i: i > start)), F.size(lines))
     return F.when(start.isNotNull(), F.slice(lines, F.coalesce(start, F.lit(0)) + 2, F.greatest(F.coalesce(stop - start - 1, F.lit(0)), F.lit(0))))
@@ -56,13 +56,13 @@ def experience_in(lines: Column) -> Column:
         rest = strip(F.regexp_replace(line, d.DATE_RANGE, ""))
         blank = F.lit("")
         return F.struct(
-            F.coalesce(strip(capture(rest, d.EXPERIENCE_LINE, 1)), blank).alias("company"),
-            F.coalesce(strip(capture(rest, d.EXPERIENCE_LINE, 2)), blank).alias("title"),
+            F.coalesce(strip(capture(rest, d.TWO_PARTS, 1)), blank).alias("company"),
+            F.coalesce(strip(capture(rest, d.TWO_PARTS, 2)), blank).alias("title"),
             F.coalesce(strip(capture(line, d.DATE_RANGE, 1)), blank).alias("start_date"),
             F.coalesce(strip(capture(line, d.DATE_RANGE, 2)), blank).alias("end_date"),
         )
 
-    found = F.filter(lines, lambda x: x.rlike(d.DATE_RANGE) | strip(F.regexp_replace(x, d.DATE_RANGE, "")).rlike(d.EXPERIENCE_LINE))
+    found = F.filter(lines, lambda x: x.rlike(d.DATE_RANGE) | strip(F.regexp_replace(x, d.DATE_RANGE, "")).rlike(d.TWO_PARTS))
     return F.coalesce(F.transform(found, entry), F.array().cast(f"array<{EXPERIENCE}>"))
 
 
