@@ -14,8 +14,8 @@ def apply(spark, make, values, kind="string"):
 
 PHONES = [
     ("(212) 555-0142", "+12125550142"), ("212-555-0142", "+12125550142"), ("212.555.0142", "+12125550142"), ("2125550142", "+12125550142"), ("+1 212 555 0142", "+12125550142"),
-    ("+12125550142", "+12125550142"), ("1-212-555-0142", "+12125550142"), ("+91-98765-43210", "+919876543210"), ("+44 20 7946 0958", "+442079460958"), ("+44 (0)20 7946 0958", "+442079460958"),
-    ("  (212) 555-0142\t", "+12125550142"), ("(212) 555-0142 ext. 7", "+12125550142"), ("555-0142", "+15550142"), ("1-800-FLOWERS", "+18003569377"), ("011 44 20 7946 0958", "+442079460958"),
+    ("+12125550142", "+12125550142"), ("1-212-555-0142", "+12125550142"), ("+91-80123-45678", "+918012345678"), ("+44 20 7123 4567", "+442071234567"), ("+44 (0)20 7123 4567", "+442071234567"),
+    ("  (212) 555-0142\t", "+12125550142"), ("(212) 555-0142 ext. 7", "+12125550142"), ("555-0142", "+15550142"), ("1-800-FLOWERS", "+18003569377"), ("011 44 20 7123 4567", "+442071234567"),
     (None, None), ("", None), ("   ", None), ("not-a-phone", None), ("abc", None), ("12", None), ("123456", None), ("+0 123 4567", None), ("21255501429999", None),
 ]
 
@@ -25,8 +25,8 @@ def test_phone(spark):
 
 
 def test_phone_list(spark):
-    got = apply(spark, nz.phones, [["(212) 555-0142", "x", None, "+12125550142", "+91-98765-43210"], [], None], "array<string>")
-    assert got == [["+12125550142", "+919876543210"], [], []]
+    got = apply(spark, nz.phones, [["(212) 555-0142", "x", None, "+12125550142", "+91-80123-45678"], [], None], "array<string>")
+    assert got == [["+12125550142", "+918012345678"], [], []]
 
 
 DATES = [
@@ -72,7 +72,7 @@ def test_location_text_and_state_first(spark):
 
 SKILLS = [
     ("ML", "Machine Learning"), ("Machine-Learning", "Machine Learning"), ("Python3", "Python"), ("reactjs", "React"), ("React.js", "React"), ("JS", "JavaScript"), ("k8s", "Kubernetes"), (" sklearn ", "scikit-learn"), ("c++", "C++"),
-    ("some-unknown-skill", "Some-Unknown-Skill"), ("skill2x iOS", "Skill2X Ios"), ("éTÉ", "Été"), (None, None), ("", None), ("\t ", None),
+    ("basket-weaving-3d", "Basket-Weaving-3D"), ("skill2x iOS", "Skill2X Ios"), ("éTÉ", "Été"), (None, None), ("", None), ("\t ", None),
 ]
 
 
