@@ -181,23 +181,6 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + offsets
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, for edges a-b among range(n)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def release() -> None:
     """Hand freed memory back to the system: Python workers live on between tasks, and executors count what they hold."""
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,9 @@ Words are maximal runs of 0-9, a-z (after A-Z are lower-cased) and non-ASCII cha
 phrases on the words, overlapping ones included; a phrase counts where its words stand consecutively.
 A second automaton finds ``spdx-license-identifier:`` tags; the expression behind a tag goes through a
 shunting-yard parser with the operators ``with`` > ``and`` > ``or`` and is evaluated to the licenses it names and to
-whether a permissive choice satisfies it. A malformed expression contributes the label ``spdx-invalid``.
+whether a permissive choice satisfies it. Identifiers are those of the tables below, exactly; any other one is not permissive
+and gets the label ``spdx-custom`` or ``spdx-unknown``. A malformed expression contributes the label ``spdx-invalid``.
+Work is linear in the text, however many notices, tags or operands it holds.
 
 Score, 0 to 1: 1 - product of (1 - weight) over the distinct labels found, by notice phrase or by expression.
 
@@ -42,8 +44,28 @@ MORE = {
 }
 TAG = "spdx-license-identifier:"
 #: Evidence of one label.
-WEIGHT = {"proprietary": 0.3, "public-domain": 0.4, "cc": 0.5, "spdx-invalid": 0.2}
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "unlicense", "0bsd", "zlib", "cc0")
+WEIGHT = {"proprietary": 0.3, "public-domain": 0.4, "cc": 0.5, "spdx-invalid": 0.2, "spdx-unknown": 0.2, "spdx-permissive": 0.5, "spdx-restrictive": 0.5}
+#: SPDX identifiers (lower-cased) whose terms are permissive → label.
+PERMISSIVE = {
+    "0bsd": "bsd", "afl-3.0": "afl", "apache-1.1": "apache", "apache-2.0": "apache", "artistic-2.0": "artistic", "blueoak-1.0.0": "blueoak",
+    "bsd-1-clause": "bsd", "bsd-2-clause": "bsd", "bsd-2-clause-patent": "bsd", "bsd-3-clause": "bsd", "bsd-3-clause-clear": "bsd", "bsd-4-clause": "bsd",
+    "bsl-1.0": "bsl", "cc-by-3.0": "cc", "cc-by-4.0": "cc", "cc0-1.0": "cc", "curl": "curl", "ecl-2.0": "ecl", "ftl": "ftl", "hpnd": "hpnd", "isc": "isc",
+    "libpng": "libpng", "libpng-2.0": "libpng", "mit": "mit", "mit-0": "mit", "ms-pl": "ms-pl", "ncsa": "ncsa", "openssl": "openssl", "php-3.01": "php",
+    "postgresql": "postgresql", "psf-2.0": "psf", "python-2.0": "psf", "ruby": "ruby", "unicode-3.0": "unicode", "unicode-dfs-2016": "unicode",
+    "unlicense": "unlicense", "upl-1.0": "upl", "w3c": "w3c", "wtfpl": "wtfpl", "x11": "x11", "zlib": "zlib", "zpl-2.1": "zpl",
+}
+#: SPDX identifiers with conditions on derived works → label.
+RESTRICTIVE = {
+    "agpl-1.0": "agpl", "agpl-3.0": "agpl", "agpl-3.0-only": "agpl", "agpl-3.0-or-later": "agpl", "apsl-2.0": "apsl", "busl-1.1": "busl",
+    "cc-by-nc-4.0": "cc", "cc-by-nc-nd-4.0": "cc", "cc-by-nc-sa-4.0": "cc", "cc-by-nd-4.0": "cc", "cc-by-sa-3.0": "cc", "cc-by-sa-4.0": "cc",
+    "cddl-1.0": "cddl", "cddl-1.1": "cddl", "cecill-2.1": "cecill", "cpl-1.0": "cpl", "epl-1.0": "epl", "epl-2.0": "epl", "eupl-1.1": "eupl", "eupl-1.2": "eupl",
+    "gfdl-1.3": "gfdl", "gfdl-1.3-only": "gfdl", "gfdl-1.3-or-later": "gfdl", "gpl-1.0": "gpl", "gpl-2.0": "gpl", "gpl-2.0-only": "gpl", "gpl-2.0-or-later": "gpl",
+    "gpl-3.0": "gpl", "gpl-3.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.0": "lgpl", "lgpl-2.0-only": "lgpl", "lgpl-2.0-or-later": "lgpl",
+    "lgpl-2.1": "lgpl", "lgpl-2.1-only": "lgpl", "lgpl-2.1-or-later": "lgpl", "lgpl-3.0": "lgpl", "lgpl-3.0-only": "lgpl", "lgpl-3.0-or-later": "lgpl",
+    "mpl-1.1": "mpl", "mpl-2.0": "mpl", "ms-rl": "ms-rl", "odbl-1.0": "odbl", "ofl-1.1": "ofl", "osl-3.0": "osl", "qpl-1.0": "qpl", "sspl-1.0": "sspl",
+}
+#: Labels of identifiers that are in neither table: ``LicenseRef-...`` ones, and all others.
+CUSTOM, UNKNOWN = "spdx-custom", "spdx-unknown"
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _SPACED = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -101,31 +123,29 @@ def shunting_yard(tokens: list[str]) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[list[str], bool]:
-    """The licenses named, and whether only permissive ones can satisfy the expression."""
-    stack: list[tuple[list[str], bool]] = []
+    """Labels of the licenses named, and whether a choice among permissive ones satisfies the expression."""
+    named: list[str] = []
+    stack: list[tuple[int, bool]] = []  # where an operand's labels begin, and whether it is permissive
     for token in postfix:
         if token in PRECEDENCE:
-            b, a = stack.pop(), stack.pop()
+            (begin, b), (first, a) = stack.pop(), stack.pop()
             if token == "with":  # an exception only widens what its license permits
-                stack.append(a)
+                del named[begin:]
+                stack.append((first, a))
             else:
-                stack.append((a[0] + b[0], a[1] or b[1] if token == "or" else a[1] and b[1]))
+                stack.append((first, a or b if token == "or" else a and b))
         else:
             low = token.lower().rstrip("+")
-            stack.append(([low], low.startswith(PERMISSIVE)))
-    return stack[0]
-
-
-def family(identifier: str) -> str:
-    head = identifier.split("-")[0]
-    return {"cc0": "cc", "cc": "cc", "0bsd": "bsd"}.get(head, head)
+            stack.append((len(named), low in PERMISSIVE))
+            named.append(PERMISSIVE.get(low) or RESTRICTIVE.get(low) or (CUSTOM if low.startswith("licenseref-") else UNKNOWN))
+    return named, stack[0][1]
 
 
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, more: dict[str, str] = MORE):
         self.phrases = ahocorasick.Automaton()
         for phrase in {*base, *more}:
-            self.phrases.add_word(f" {phrase} ", (len(phrase), base.get(phrase), more.get(phrase, base.get(phrase))))
+            self.phrases.add_word(f" {phrase} ", (phrase.count(" ") + 1, base.get(phrase), more.get(phrase, base.get(phrase))))
         self.phrases.make_automaton()
         self.tags = ahocorasick.Automaton()
         self.tags.add_word(TAG, TAG)
@@ -137,11 +157,12 @@ class Scanner:
         words = low.translate(_SPACED).split()
         line = f" {b' '.join(words).decode('latin-1')} "
         base, labels, first, last, n_base = set(), set(), None, None, 0
+        before, upto = 0, 0  # words that end before ``upto``, plus one; matches come in order of their ends
         for end, (size, label, other) in self.phrases.iter(line):
             labels.add(other)
             if label is not None:
-                start = end - size  # the phrase's first character; the blank before it ends the word before
-                at = line.count(" ", 0, start) - 1
+                before, upto = before + line.count(" ", upto, end), end
+                at = before - size  # the match ends at the blank behind its last word
                 first = at if first is None else min(first, at)
                 last = at if last is None else max(last, at)
                 n_base += 1
@@ -154,7 +175,7 @@ class Scanner:
                     labels.add("spdx-invalid")
                 else:
                     named, permissive = evaluate(postfix)
-                    labels.update(map(family, named))
+                    labels.update(named)
                     labels.add("spdx-permissive" if permissive else "spdx-restrictive")
         labels |= base
         doubt = 1.0

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldlink.llm.common import U64, components, mix64, ranges, release, runs, shared_shingles, shingle_sets
+from goldlink.llm.common import U64, mix64, ranges, release, runs, shared_shingles, shingle_sets
 from goldlink.operators.components import connected_components
+from goldlink.operators.components import smallest_in_component as components
 from goldlink.plans.scratch import discard, materialize
 
 POSITIONS = 64

@@ -79,7 +79,8 @@ def shuffle_into_shards(
         return pa.table({"__row": table.column("__row").combine_chunks().take(pa.array(order)), "shard": pa.array((at % n_shards).astype(np.int32)), "slot": pa.array(at // n_shards)})
 
     schema = T.StructType([T.StructField("__row", scattered.schema["__row"].dataType), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    dealt = scattered.groupBy("__bucket").applyInArrow(deal, schema)
+    # a partition for each bucket on average, so that tasks do not grow with the input
+    dealt = scattered.repartition(n_buckets, "__bucket").groupBy("__bucket").applyInArrow(deal, schema)
     return dealt.select("__row.*", "shard", "slot") if names else dealt.select("shard", "slot")
 
 

@@ -39,3 +39,17 @@ def test_table(spark):
     codes = [(r["vec_id"], code(r["embedding"])) for r in data]
     got = {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in rows(hamming.op10_hamming_top_k(vectors))}
     assert got == brute(codes, [c for c in codes if c[0] % 100 == 0], 10)
+
+
+def test_narrow_segments_many_components_and_uneven_lengths(spark):
+    rng = random.Random(8)
+    codes = [(i, [rng.randrange(32) for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(codes, "id bigint, code array<int>")
+    got = {(r["query_id"], r["rank"], r["id"], r["distance"]) for r in rows(hamming.top_k(df, spark.createDataFrame(codes[:9], df.schema), 4, segment=5))}
+    assert got == brute(codes, codes[:9], 4)
+    assert hamming.segment_bits(51_282, 64) == 16 and hamming.segment_bits(10**9, 1024) <= 25 and hamming.segment_bits(3, 1) == 1
+    data = [(i, [rng.uniform(-1, 1) for _ in range(rng.choice([70, 90]))]) for i in range(0, 1200, 20)] + [(1, None), (2, []), (3, [float("nan")])]
+    vectors = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    bits = [(i, [sum(1 << b for b, x in enumerate(v) if x > 0)]) for i, v in data if v and v[0] == v[0]]
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in rows(hamming.op10_hamming_top_k(vectors))}
+    assert got == brute(bits, [c for c in bits if c[0] % 100 == 0], 10)
