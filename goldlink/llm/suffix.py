@@ -3,20 +3,20 @@
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller id, or
 earlier in the same document. Matches never cross documents; all strings are judged on the input.
 
-Index. Suffixes matter here only up to ``length`` bytes, so a suffix array is the sorted array of the 64-bit
-fingerprints of the suffixes' first ``length`` bytes: equal strings are neighbours in it, as in a lexicographic array,
-and two arrays are merge-scanned for common strings in the same way. ``LogSuffixIndex`` takes batches in
-document order: a batch gets its own array, is merge-scanned against the array of each level, and becomes a
-level of its own; levels of like size merge, so that their sizes stay geometric and each suffix is merged
-O(log n) times.
+Index. Suffixes matter here only up to ``length`` bytes. ``LogSuffixIndex`` takes batches of text in document order. A
+batch gets a suffix array by prefix doubling: ranks by the first 5 bytes, then 10, 20, 40, 80 and last, by two
+overlapping ranks, ``length`` bytes. Neighbours of equal rank have a common prefix of ``length`` bytes or more. The array
+is merge-scanned against that of each level, byte by byte where prefixes meet, and what is new becomes a level of its own;
+levels of like size are merged in the same way, so that their sizes stay geometric and each suffix is merged O(log n)
+times. Every match is one of bytes: hashes only choose what is compared.
 
 Distribution. Only strings whose content recurs need an index. Each string has a minimizer, the smallest hash among
 the 32-byte substrings in it, at a place that depends on its content only; equal strings have equal minimizers.
   1. Every document's minimizers go by hash to parts; a part returns the places of those that occur twice or more. Those
      that recur among a task's documents are combined into one message first.
   2. Documents meet those places (co-grouped by document hash) and send the stretch of text under each such
-     minimizer to the minimizer's part. Of equal stretches within a task only the earliest is sent, the others are
-     removed at once: a passage or a document with thousands of copies is combined before it is shuffled.
+     minimizer to the minimizer's part. Of equal stretches within a task (by 128-bit digests) only the earliest is sent,
+     the others are removed at once: a passage or a document with thousands of copies is combined before it is shuffled.
   3. Each part runs an index over its stretches, in document order, and returns which strings occur earlier.
   4. Documents meet the answers and drop the covered bytes.
 A part is sized by ``part_bytes`` of corpus; no step holds more than one part or one group of documents. Only the minimizers at
@@ -47,38 +47,119 @@ _LAST = np.iinfo(np.int64).max
 MARK = np.uint32(0xFFFFFFFF)
 
 
+#: Bits of a place in a batch: three of them fit into a sort key.
+PLACE = 21
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into ``starts`` (ascending) in the order of data[start : start + length], and which equal the one before.
+
+    ``data`` has fewer than 2**21 bytes; equal strings are in the order of their starts.
+    """
+    n = len(data)
+    place = np.arange(n, dtype=U64)
+    wide, mask = U64(2 * PLACE), U64((1 << PLACE) - 1)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    rank = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(U64) >> U64(24)
+    depth = min(5, length)
+    key = (rank >> U64(8 * (5 - depth))) << U64(PLACE) | place
+    if depth == length:
+        key = key[starts]
+    while True:
+        key.sort()
+        at = (key & mask).astype(np.int64)
+        value = key >> U64(PLACE)
+        again = np.zeros(len(key), dtype=bool)
+        again[1:] = value[1:] == value[:-1]
+        if depth == length:
+            break
+        rank = np.empty(n, dtype=U64)
+        rank[at] = np.cumsum(~again).astype(U64)
+        step = min(depth, length - depth)  # the last step overlaps, so that ranks cover ``length`` bytes exactly
+        behind = np.zeros(n, dtype=U64)  # 0: the text ends
+        behind[: n - step] = rank[step:]
+        depth += step
+        key = rank << wide | behind << U64(PLACE) | place
+        if depth == length:
+            key = key[starts]
+    order = np.searchsorted(starts, at) if len(starts) < n else at
+    return order, again
+
+
 class LogSuffixIndex:
-    """Sorted fingerprint arrays in levels of geometric size."""
+    """Suffix arrays (places in ``data`` in the order of their first ``length`` bytes) in levels of geometric size."""
 
-    def __init__(self):
+    def __init__(self, data: np.ndarray, length: int):
+        self.data, self.length = data, length
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        self.lanes = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded, strides=(1,))
+        self.strings = np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 1, length), strides=(1, 1))
         self.levels: list[np.ndarray] = []
 
-    def add(self, strings: np.ndarray) -> np.ndarray:
-        """Fingerprints in text order → which of them occurred before, in this batch or an earlier one."""
-        order = np.argsort(strings, kind="stable")
-        array = strings[order]
-        again = np.zeros(len(array), dtype=bool)
-        again[1:] = array[1:] == array[:-1]
+    def add(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Places in text order, given also as ``starts`` in a copy of their text → which strings occurred before."""
+        order, again = suffix_array(data, starts, self.length)
         heads = np.flatnonzero(~again)
-        fresh = array[heads]
+        fresh = places[order[heads]]
         met = np.zeros(len(fresh), dtype=bool)
         for level in self.levels:
-            at = np.searchsorted(level, fresh)
-            at[at == len(level)] = 0
-            met |= level[at] == fresh
-        out = np.empty(len(array), dtype=bool)
+            met |= self.scan(level, fresh)[1]
+        out = np.empty(len(order), dtype=bool)
         again[heads] = met
         out[order] = again
         self.push(fresh[~met])
         return out
 
+    def scan(self, level: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge-scan of two arrays: before which entry of ``level`` each of ``fresh`` belongs, and whether it equals it."""
+        theirs, mine = self.lanes[level].astype(U64), self.lanes[fresh].astype(U64)
+        low = np.searchsorted(theirs, mine, side="left")
+        high = np.searchsorted(theirs, mine, side="right")
+        for at in range(8, self.length - 7, 8):  # among entries with one prefix the next eight bytes are in order
+            row = np.flatnonzero(high - low > 1)
+            if not len(row):
+                break
+            want = self.lanes[fresh[row] + at].astype(U64)
+            begin, end = low[row], high[row]
+            for last, bound in ((False, low), (True, high)):
+                a, b = begin.copy(), end.copy()
+                for _ in range(int((b - a).max()).bit_length()):
+                    middle = np.minimum((a + b) >> 1, len(level) - 1)
+                    seen = self.lanes[level[middle] + at].astype(U64)
+                    right = (seen <= want if last else seen < want) & (a < b)
+                    a, b = np.where(right, middle + 1, a), np.where(right, b, middle)
+                bound[row] = a
+        equal = np.zeros(len(fresh), dtype=bool)
+        # one entry is left for most, or some whose last few bytes only may differ: compare whole strings
+        row = np.flatnonzero(high > low)
+        while len(row):
+            after = []
+            for part in np.array_split(row, max(1, len(row) >> 16)):
+                a, b = self.strings[level[low[part]]], self.strings[fresh[part]]
+                differ = a != b
+                first = differ.argmax(axis=1)
+                one = np.arange(len(part))
+                same = ~differ[one, first]
+                equal[part[same]] = True
+                less = ~same & (a[one, first] < b[one, first])
+                low[part[less]] += 1
+                after.append(part[less])
+            row = np.concatenate(after)
+            row = row[low[row] < high[row]]
+        return low, equal
+
     def push(self, array: np.ndarray) -> None:
         if not len(array):
             return
         self.levels.append(array)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate([self.levels[-1], last]), kind="stable")  # two runs: one merge
+            last, before = self.levels.pop(), self.levels.pop()
+            place = self.scan(before, last)[0] + np.arange(len(last))
+            merged = np.empty(len(before) + len(last), dtype=before.dtype)
+            old = np.ones(len(merged), dtype=bool)
+            old[place] = False
+            merged[place], merged[old] = last, before
+            self.levels.append(merged)
 
 
 def window_minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +207,7 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
 _MESSAGE = "part bigint, kind int, blob binary"
 
 
-def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, flush_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
+def _answers(documents: DataFrame, length: int, part_bytes: int, batch_bytes: int, flush_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Documents with their document part, and messages (document part, blob) of removed strings."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, math.ceil(total / part_bytes))
@@ -205,7 +286,7 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 wanted.setdefault(int(owner[order[lo]]), []).append(place[order[lo:hi]])
         rows = sorted({(_LAST if d is None else d, u): i for i, (d, u) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("uid").to_pylist(), strict=True))}.items())
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         done: list[tuple[int, int, int]] = []  # uid, start, strings: removed here
         to: list[int] = []
         heads: list[tuple[int, int, int, int]] = []
@@ -221,16 +302,17 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             first, last = cuts[:-1], cuts[1:]
             use = recurs[at[first]]
             first, last = first[use], last[use]
-            whole = span_hashes(prefix_hashes(data), first, last + length - 1)
             raw = data.tobytes()
-            for part, lo, hi, content in zip(_part(hashes[at[first]], parts).tolist(), first.tolist(), last.tolist(), whole.tolist(), strict=True):
-                if (content, hi - lo) in seen:
+            for part, lo, hi in zip(_part(hashes[at[first]], parts).tolist(), first.tolist(), last.tolist(), strict=True):
+                body = raw[lo : hi + length - 1]
+                content = hashlib.blake2b(body, digest_size=16).digest()
+                if content in seen:
                     done.append((owner, lo, hi - lo))
                     continue
-                seen.add((content, hi - lo))
+                seen.add(content)
                 to.append(part)
                 heads.append((doc, owner, lo, hi - lo))
-                bodies.append(raw[lo : hi + length - 1])
+                bodies.append(body)
         out: list[tuple] = []
         pack = zstandard.ZstdCompressor(level=1)
         if to:
@@ -265,17 +347,16 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
             begin = np.r_[0, np.cumsum(table[:, 3] + length - 1)][:-1]
             data = np.concatenate(texts_)
             order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
-            family = LogSuffixIndex()
-            ends = np.cumsum(table[order, 3])
+            data = data[ranges(begin[order], begin[order] + table[order, 3] + length - 1)]  # in document order
+            begin = np.r_[0, np.cumsum(table[order, 3] + length - 1)]
+            family = LogSuffixIndex(data, length)
             lo = 0
             while lo < len(order):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + batch_strings, side="right")))
+                hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + batch_bytes, side="right")) - 1)
                 rows = order[lo:hi]
                 sizes = table[rows, 3]
-                stretch = data[ranges(begin[rows], begin[rows] + sizes + length - 1)]
-                inner = np.r_[0, np.cumsum(sizes + length - 1)][:-1]
-                starts = ranges(inner, inner + sizes)
-                again = family.add(span_hashes(prefix_hashes(stretch), starts, starts + length))
+                starts = ranges(begin[lo:hi], begin[lo:hi] + sizes)
+                again = family.add(starts, data[begin[lo] : begin[hi]], starts - begin[lo])
                 hit = np.add.reduceat(again, np.r_[0, np.cumsum(sizes)[:-1]]) > 0
                 if hit.any():
                     own, keep = table[rows[hit], 1], again[np.repeat(hit, sizes)]
@@ -285,10 +366,13 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_strings:
                 lo = hi
 
     found = texts.select("uid", "text").mapInArrow(minimizers, _MESSAGE)
-    places = found.repartition("part").sortWithinPartitions("part").mapInArrow(recurring, _MESSAGE)
-    sent = texts.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(stretches, _MESSAGE)
-    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(index, _MESSAGE)
-    return texts, answers
+    # partitions from the input's size, so that tasks do not grow with it
+    tasks = max(48, math.ceil(parts / 8))
+    texts = texts.repartition(tasks, "part")
+    places = found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(recurring, _MESSAGE)
+    sent = texts.groupBy("part").cogroup(places.repartition(tasks, "part").groupBy("part")).applyInArrow(stretches, _MESSAGE)
+    answers = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(index, _MESSAGE)
+    return texts, answers.repartition(tasks, "part")
 
 
 def _pack_answers(owner: np.ndarray, start: np.ndarray, size: np.ndarray, flags: np.ndarray) -> bytes:
@@ -304,9 +388,9 @@ def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings: int, finish, fields: list[tuple[str, str]]) -> DataFrame:
+def _removal(documents: DataFrame, length: int, part_bytes: int, batch_bytes: int, finish, fields: list[tuple[str, str]]) -> DataFrame:
     """doc_id, the other columns as a struct ``rest``, and what ``finish`` makes of each text and its covered bytes."""
-    texts, answers = _answers(documents, length, part_bytes, batch_strings)
+    texts, answers = _answers(documents, length, part_bytes, batch_bytes)
     types = {"bigint": pa.int64(), "string": pa.string()}
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -334,7 +418,7 @@ def _removal(documents: DataFrame, length: int, part_bytes: int, batch_strings:
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
 
 
-def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_strings: int = 1 << 18) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """The rows of ``documents`` with what is left of their texts, and n_bytes, n_removed and spans (replacing such columns).
 
     Text is cut at character boundaries: a character goes only if all its bytes are covered. ``spans`` lists the covered
@@ -351,12 +435,12 @@ def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6
 
     made = ("n_bytes", "n_removed", "spans")
     body = documents.drop(*made)
-    out = _removal(body, length, part_bytes, batch_strings, finish, [("text", "string"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("spans", "string")])
+    out = _removal(body, length, part_bytes, batch_bytes, finish, [("text", "string"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("spans", "string")])
     kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in body.columns]
     return out.select(*kept, *made)
 
 
-def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_strings: int = 1 << 18) -> DataFrame:
+def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """Digests of what is left of every document when repeated strings of 100 bytes are removed."""
 
     def finish(data: np.ndarray, gone: np.ndarray | None):
@@ -366,4 +450,4 @@ def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 2
         return len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
     fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
-    return _removal(documents.select("doc_id", "text"), length, part_bytes, batch_strings, finish, fields).drop("rest")
+    return _removal(documents.select("doc_id", "text"), length, part_bytes, batch_bytes, finish, fields).drop("rest")

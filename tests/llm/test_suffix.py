@@ -39,21 +39,42 @@ def test_periodic_overlapping_and_partial_copies(spark):
     texts = ["a" * 500, "ab" * 300, passage, "x" + passage[:150] + "y" + passage[20:], passage, None, "", "z" * 99, "z" * 100, "q" * 40 + "z" * 100, passage[:99], passage[:100], passage[1:101] + passage[0:100], "a" * 100 + "b" + "a" * 99]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     check(df)
-    check(df, batch_strings=64, part_bytes=256)
-
-
-def test_index_levels_stay_geometric():
-    rng = np.random.default_rng(1)
-    family, seen = suffix.LogSuffixIndex(), set()
-    for _ in range(60):
-        batch = rng.integers(0, 3000, 50).astype(np.uint64)
-        want = []
-        for x in batch.tolist():
-            want.append(x in seen)
-            seen.add(x)
-        assert family.add(batch).tolist() == want
-        sizes = [len(level) for level in family.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and all((np.diff(level.astype(np.int64)) > 0).all() for level in family.levels)
+    check(df, batch_bytes=400, part_bytes=256)
+
+
+def test_suffix_array_against_sorting():
+    rng = random.Random(4)
+    for length in (1, 3, 5, 6, 17, 100):
+        for alphabet in ("a", "ab", "\0a", "abcdefgh \0"):
+            raw = "".join(rng.choice(alphabet) for _ in range(400)).encode()
+            starts = np.array(sorted(rng.sample(range(len(raw) - length + 1), 200)))
+            order, again = suffix.suffix_array(np.frombuffer(raw, np.uint8), starts, length)
+            want = sorted(range(len(starts)), key=lambda i: (raw[starts[i] : starts[i] + length], i))
+            assert order.tolist() == want
+            text = [raw[starts[i] : starts[i] + length] for i in want]
+            assert again.tolist() == [False] + [a == b for a, b in zip(text, text[1:])]
+
+
+def test_index_levels_are_sorted_and_stay_geometric():
+    rng = random.Random(1)
+    for length, alphabet in ((100, "ab"), (20, "abc"), (9, "a\0"), (100, "abcdefgh")):
+        words = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(12)]
+        raw = "".join(rng.choice(words) for _ in range(150)).encode()
+        data = np.frombuffer(raw, np.uint8)
+        family, seen = suffix.LogSuffixIndex(data, length), set()
+        for lo in range(0, len(raw) - length, 130):
+            hi = min(lo + 130, len(raw) - length)
+            want = []
+            for p in range(lo, hi):
+                want.append(raw[p : p + length] in seen)
+                seen.add(raw[p : p + length])
+            places = np.arange(lo, hi)
+            assert family.add(places, data[lo : hi + length], places - lo).tolist() == want
+            sizes = [len(level) for level in family.levels]
+            assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+            for level in family.levels:
+                text = [raw[p : p + length] for p in level.tolist()]
+                assert all(a < b for a, b in zip(text, text[1:]))
 
 
 def test_edge_rows_and_text_output(spark):
