@@ -3,13 +3,15 @@
 Content view: hashed counts of word shapes (runs of upper case, lower case, digits and each other character) and of
 words, with the shares of distinct and of repeated words. Metadata view: language, source, stored length and
 layout (lines, line length, share of white space, of upper case, of characters that are neither letters nor
-digits). Each view has a logistic regression. In each round both score a pool of unlabelled documents, and each hands its
-most confident ones, in the proportion of the labels, to the other as pseudo-labels. At the end each view is
+digits). Each view has a logistic regression. In each round both score every unlabelled document of the corpus, and each
+hands some of those that it is confident of, drawn by a seeded hash in the proportion of the labels, to the other as
+pseudo-labels: a tenth as many as there are labelled ones to fit, whatever the corpus' size. At the end each view is
 calibrated on labelled documents that no fit has seen (Platt scaling), and a document's score is the mean of the
 calibrated logits, weighted by how well each view ranks the calibration set.
 
-The fit reads a bounded sample: at most ``most_labelled`` labelled and ``pool`` unlabelled documents, by smallest seeded hash
-of the id, so it is the same on every run. Every document is scored on its whole text.
+The fit reads a bounded sample of labelled documents: at most ``most_labelled``, by smallest seeded hash of the id, so it is the
+same on every run. The unlabelled documents are all scored in each round, where they are; only the pseudo-labelled ones come
+to the driver. Features are made for a slice of about ``AT_ONCE`` bytes of texts at a time. Every document is scored on its whole text.
 
 Defined results: a null or empty text is scored like any other, on what it has; null metadata is a value of its
 own; repeated rows get equal scores; labels that are null are ignored and those of a repeated id are averaged; where the labels
@@ -19,15 +21,17 @@ kept; an empty input gives an empty output; an input column with the name of an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldlink.llm.common import U64, content_hashes, release, runs, word_spans
+from goldlink.plans.scratch import discard, materialize
 
 SHAPES, WORDS, FACTS = 2048, 8192, 512
 _KIND = np.arange(256, dtype=np.uint8)
@@ -39,60 +43,99 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _counts(hashes: np.ndarray, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and log counts, scaled to unit length."""
-    if not len(hashes):
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    index, n = np.unique((hashes % U64(size)).astype(np.int32), return_counts=True)
-    value = np.log1p(n).astype(np.float32)
-    return index + first, value / np.float32(np.sqrt((value * value).sum()))
-
-
-def _number(first: int, x: float, steps: int = 16, weight: float = 1.0) -> tuple[int, float]:
-    """A share as one of ``steps`` indicator features."""
-    return first + min(steps - 1, max(0, int(x * steps))), weight
+#: Bytes of texts whose features are made together (a longer text is a slice of its own).
+AT_ONCE = 1 << 20
 
 
 def _text_hash(value: str | None, salt: int) -> int:
-    data = np.frombuffer(("\0" if value is None else value).encode(), dtype=np.uint8)
+    data = np.frombuffer(("\0" if value is None else value).encode("utf-8", "surrogatepass"), dtype=np.uint8)
     return int(content_hashes(data, np.array([0]), np.array([len(data)]))[0][0] >> U64(salt))
 
 
-def features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indices, values) of the content view and of the metadata view."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def _counts(doc: np.ndarray, hashes: np.ndarray, size: int, first: int, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, indices and log counts, scaled to a length of ``scale`` for each row."""
+    cell, n = np.unique(doc * size + (hashes % U64(size)).astype(np.int64), return_counts=True)
+    row, value = cell // size, np.log1p(n)
+    length = np.sqrt(np.bincount(row, value * value, minlength=len(scale)))
+    return row, cell % size + first, value * (scale / np.maximum(length, 1e-9))[row]
+
+
+def _share(first: int, x: np.ndarray, steps: int = 16) -> np.ndarray:
+    """Shares as one of ``steps`` indicator features."""
+    return first + np.clip((x * steps).astype(np.int64), 0, steps - 1)
+
+
+def views_of(texts: list[str | None], langs: list[str | None], sources: list[str | None], sizes: list[int | None]) -> list[Sparse]:
+    """The content view and the metadata view of documents; see ``AT_ONCE`` for how many to pass."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    n, length = len(raw), np.array([len(r) for r in raw], dtype=np.int64)
+    begin = np.r_[0, np.cumsum(length + 1)]
+    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    of = lambda places: np.searchsorted(begin, places, side="right") - 1
+    total = lambda flags: np.add.reduceat(flags, begin[:-1], dtype=np.int64)
+    one = np.arange(n)
+
     lower = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
-    words = content_hashes(lower, *word_spans(data))[0]
+    starts, ends = word_spans(data)
+    words, doc = content_hashes(lower, starts, ends)[0], of(starts)
+    many = np.bincount(doc, minlength=n)
     kinds = np.where(_WHITE[data], np.uint8(0), _KIND[data])
-    keep = np.r_[True, kinds[1:] != kinds[:-1]] if len(kinds) else np.zeros(0, dtype=bool)
-    packed = kinds[keep]
-    shapes = content_hashes(packed, *word_spans(np.where(packed == 0, np.uint8(0x20), packed)))[0]
-    n = len(words)
-    distinct = len(np.unique(words)) / n if n else 1.0
-    again = float((words[1:] == words[:-1]).mean()) if n > 1 else 0.0
-    parts = [_counts(shapes, SHAPES, 0), _counts(words, WORDS, SHAPES)]
-    trust = np.float32(n / (n + 24))  # a few words say little: short texts stay near the prior
-    parts = [(i, v * trust) for i, v in parts]
-    numbers = [_number(SHAPES + WORDS, distinct, weight=trust), _number(SHAPES + WORDS + 16, min(1.0, again * 4), weight=trust), (SHAPES + WORDS + 32, 1.0)]
-    content = np.concatenate([parts[0][0], parts[1][0], [i for i, _ in numbers]]).astype(np.int32), np.concatenate([parts[0][1], parts[1][1] * np.float32(0.5), [v for _, v in numbers]]).astype(np.float32)
-
-    lines = int((data == 0x0A).sum()) + 1
-    size = max(1, len(data))
-    plain = int((kinds == 1).sum()), int((kinds == 2).sum()), int((kinds == 3).sum()), int((kinds == 0).sum())
-    sure = len(data) / (len(data) + 150)
+    at = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
+    packed = kinds[at]
+    s, e = word_spans(np.where(packed == 0, np.uint8(0x20), packed))
+    shapes, shape_doc = content_hashes(packed, s, e)[0], of(at[s])
+    # words of a document are told apart by 40 bits of their hashes
+    kept = np.unique(doc.astype(U64) << U64(40) | words >> U64(24)) >> U64(40)
+    distinct = np.where(many > 0, np.bincount(kept.astype(np.int64), minlength=n) / np.maximum(many, 1), 1.0)
+    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    again = np.bincount(doc[1:][same], minlength=n) / np.maximum(many - 1, 1)
+    trust = many / (many + 24)  # a few words say little: short texts stay near the prior
+    parts = [
+        _counts(shape_doc, shapes, SHAPES, 0, trust),
+        _counts(doc, words, WORDS, SHAPES, trust * 0.5),
+        (one, _share(SHAPES + WORDS, distinct), trust),
+        (one, _share(SHAPES + WORDS + 16, np.minimum(1.0, again * 4)), trust),
+        (one, np.full(n, SHAPES + WORDS + 32), np.ones(n)),
+    ]
+    content = Sparse.join(parts, n)
+
+    size = np.maximum(1, length)
+    lines = total(data == 0x0A) + 1
+    upper, letters, digits, white = total(kinds == 1), total(kinds == 2), total(kinds == 3), total(kinds == 0) - 1
+    log = lambda x, most: np.minimum(most, np.log2(x).astype(np.int64))
+    lang = {x: _text_hash(x, 1) % 64 for x in set(langs)}
+    source = {x: 64 + _text_hash(x, 2) % 256 for x in set(sources)}
+    stored = np.array([max(0, x or 0) for x in sizes], dtype=np.float64)
+    sure = length / (length + 150)
     facts = [
-        (_text_hash(lang, 1) % 64, 1.0),
-        (64 + _text_hash(source, 2) % 256, 0.5),
-        (320 + min(31, int(np.log2(1 + max(0, n_chars or 0)))), 0.5 * sure),
-        (352 + min(15, int(np.log2(lines))), 0.5 * sure),
-        (368 + min(15, int(np.log2(1 + len(data) / lines))), 0.5 * sure),
-        _number(384, plain[0] / size, weight=sure),
-        _number(400, plain[3] / size * 2, weight=sure),
-        _number(416, (size - sum(plain)) / size * 2, weight=sure),
-        _number(432, plain[2] / size * 2, weight=sure),
-        (448, 1.0),
+        (np.array([lang[x] for x in langs]), np.ones(n)),
+        (np.array([source[x] for x in sources]), np.full(n, 0.5)),
+        (320 + log(1 + stored, 31), 0.5 * sure),
+        (352 + log(lines, 15), 0.5 * sure),
+        (368 + log(1 + length / lines, 15), 0.5 * sure),
+        (_share(384, upper / size), sure),
+        (_share(400, white / size * 2), sure),
+        (_share(416, (length - upper - letters - digits - white) / size * 2), sure),
+        (_share(432, digits / size * 2), sure),
+        (np.full(n, 448), np.ones(n)),
     ]
-    return [content, (np.array([i for i, _ in facts], dtype=np.int32), np.array([v for _, v in facts], dtype=np.float32))]
+    return [content, Sparse.join([(one, i, v) for i, v in facts], n)]
+
+
+def features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of both views of one document."""
+    return [(v.index, v.value) for v in views_of([text], [lang], [source], [n_chars])]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[Sparse]]]:
+    """First and last row, and both views, of slices of a batch with text, lang, source and n_chars."""
+    columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
+    lo, held = 0, 0
+    for i, text in enumerate(columns[0]):
+        held += len(text or "")
+        if held >= AT_ONCE or i == batch.num_rows - 1:
+            yield lo, i + 1, views_of(*[c[lo : i + 1] for c in columns])
+            lo, held = i + 1, 0
 
 
 SIZES = (SHAPES + WORDS + 33, FACTS)
@@ -112,6 +155,17 @@ class Sparse:
         sizes = [len(i) for i, _ in rows]
         return Sparse(np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.repeat(np.arange(len(rows)), sizes), len(rows))
 
+    @staticmethod
+    def join(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Sparse:
+        """Of (rows, indices, values), in order of rows."""
+        row, index, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        return Sparse(index[order].astype(np.int32), value[order].astype(np.float32), row[order], n)
+
+    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.searchsorted(self.row, np.arange(1, self.n))
+        return list(zip(np.split(self.index, cuts), np.split(self.value, cuts), strict=True))
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.index] * self.value, minlength=self.n)
 
@@ -168,16 +222,43 @@ class Model:
     constant: float | None = None
 
     def score(self, views: list[tuple[np.ndarray, np.ndarray]]) -> float:
+        return float(self.scores([Sparse.of([v]) for v in views])[0])
+
+    def scores(self, views: list[Sparse]) -> np.ndarray:
         if self.constant is not None:
-            return self.constant
-        total = 0.0
-        for (index, value), w, (a, b), share in zip(views, self.weights, self.scale, self.share, strict=True):
-            total += share * (a * float(w[index] @ value) + b)
-        return float(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
+            return np.full(views[0].n, self.constant)
+        total = np.zeros(views[0].n)
+        for view, w, (a, b), share in zip(views, self.weights, self.scale, self.share, strict=True):
+            total += share * (a * view.dot(w) + b)
+        return _sigmoid(total)
+
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
-def co_train(labelled: list, y: np.ndarray, pool: list, rounds: int = 3, hand_over: float = 0.1, confident: float = 0.95) -> Model:
-    """``labelled`` and ``pool``: lists of view lists. A fifth of the labelled rows only calibrates."""
+
+#: Asked with the weights of both views, how many positive and negative pseudo-labels a view hands over, the confidence
+#: needed and what has been handed over: for each view new (key, views, label) of documents it is confident of.
+Ask = Callable[[list[np.ndarray], tuple[int, int], float, list[set]], list[list[tuple]]]
+
+
+def ask_rows(pool: list) -> Ask:
+    """Pseudo-labels among rows that are here."""
+    views = [Sparse.of([p[v] for p in pool]) for v in (0, 1)]
+
+    def ask(weights, quota, confident, given):
+        out = []
+        for v in (0, 1):
+            p = _sigmoid(views[v].dot(weights[v]))
+            free = [i for i in range(len(pool)) if i not in given[v]]
+            out.append([(i, pool[i], label) for label, most in ((1.0, quota[0]), (0.0, quota[1])) for i in [i for i in free if abs(p[i] - 1 + label) >= confident][:most]])
+        return out
+
+    return ask
+
+
+def co_train(labelled: list, y: np.ndarray, ask: Ask | None, rounds: int = 2, hand_over: float = 0.1, confident: float = 0.95) -> Model:
+    """``labelled``: view lists. A fifth of the labelled rows only calibrates."""
     if not len(y) or y.min() == y.max():
         return Model([], [], [], float(y.mean()) if len(y) else 1.0)
     held = np.arange(len(y)) % 5 == 4
@@ -185,24 +266,20 @@ def co_train(labelled: list, y: np.ndarray, pool: list, rounds: int = 3, hand_ov
         held = np.zeros(len(y), dtype=bool)  # too few to set some aside: calibrate on what was fitted
     fit_rows = np.flatnonzero(~held)
     check = np.flatnonzero(held) if held.any() else fit_rows
-    given: list[dict[int, float]] = [{}, {}]  # pool row → pseudo-label, for each view
+    quota = max(1, round(hand_over * len(fit_rows) * y.mean())), max(1, round(hand_over * len(fit_rows) * (1 - y.mean())))
+    extra: list[list[tuple]] = [[], []]  # (key, views, label) that each view was handed by the other
     weights: list[np.ndarray] = [np.zeros(0), np.zeros(0)]
-    pools = [Sparse.of([p[v] for p in pool]) for v in (0, 1)] if pool else None
     for turn in range(rounds + 1):
         for v in (0, 1):
-            extra = sorted(given[v])
-            rows = [labelled[i][v] for i in fit_rows] + [pool[i][v] for i in extra]
-            target = np.r_[y[fit_rows], [given[v][i] for i in extra]]
-            trust = np.r_[np.ones(len(fit_rows)), np.full(len(extra), 0.5)]
+            rows = [labelled[i][v] for i in fit_rows] + [views[v] for _, views, _ in extra[v]]
+            target = np.r_[y[fit_rows], [label for _, _, label in extra[v]]]
+            trust = np.r_[np.ones(len(fit_rows)), np.full(len(extra[v]), 0.5)]
             weights[v] = fit_logistic(Sparse.of(rows), target, trust, SIZES[v])
-        if turn == rounds or pools is None:
+        if turn == rounds or ask is None:
             break
+        handed = ask(weights, quota, confident, [{k for k, _, _ in extra[1 - v]} for v in (0, 1)])
         for v in (0, 1):
-            p = 1.0 / (1.0 + np.exp(-np.clip(pools[v].dot(weights[v]), -30, 30)))
-            quota = max(1, int(hand_over * len(pool)))
-            for label, sure, share in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                best = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= confident and i not in given[1 - v]]
-                given[1 - v].update(dict.fromkeys(best[: max(1, int(quota * share))], label))
+            extra[1 - v] += handed[v]
     scale, skill = [], []
     for v in (0, 1):
         logit = Sparse.of([labelled[i][v] for i in check]).dot(weights[v])
@@ -211,48 +288,74 @@ def co_train(labelled: list, y: np.ndarray, pool: list, rounds: int = 3, hand_ov
     return Model(weights, scale, [s / sum(skill) for s in skill])
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 5000, pool: int = 3000, seed: int = 9) -> Model:
-    """Fit on the bounded sample; see the module's description."""
-    spark = documents.sparkSession
-    order = lambda c: (F.xxhash64(F.lit(seed), c), F.col(c))
-    clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    ids = documents.select("doc_id").where("doc_id is not null").distinct()
-    known = clean.join(ids, "doc_id", "left_semi").orderBy(*order("doc_id")).limit(most_labelled)
-    open_ = ids.join(clean, "doc_id", "left_anti").orderBy(*order("doc_id")).limit(pool).select("doc_id", F.lit(None).cast("double").alias("quality"))
-    chosen = known.union(open_).collect()  # at most most_labelled + pool ids
-    if not chosen:
-        return co_train([], np.zeros(0), [])
-    wanted = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id bigint, quality double"))
-    first = documents.join(wanted, "doc_id").select("doc_id", "quality", "text", "lang", "source", "n_chars")
+_VIEWS = "ci binary, cv binary, mi binary, mv binary"
+
+
+def _read(documents: DataFrame, wanted: list[int]) -> dict[int, list]:
+    """Both views of the documents with these ids (a bounded list), by id; of a repeated id the smallest by content."""
+    if not wanted:
+        return {}
+    ids = F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(*(batch.column(c)[i].as_py() for c in ("text", "lang", "source", "n_chars"))) for i in range(batch.num_rows)]
-            packed = [pa.array([r[v][k].tobytes() for r in rows], pa.binary()) for v in (0, 1) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *packed], names=["doc_id", "quality", "ci", "cv", "mi", "mv"])
+            for lo, hi, views in _slices(batch):
+                packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for rows in (v.rows() for v in views) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *packed], names=["doc_id", "ci", "cv", "mi", "mv"])
+
+    found = documents.select("doc_id", "text", "lang", "source", "n_chars").join(ids, "doc_id").mapInArrow(run, f"doc_id bigint, {_VIEWS}").collect()
+    out: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r[0], *map(bytes, r[1:]))):
+        view = lambda i, r=r: (np.frombuffer(r[i], dtype=np.int32), np.frombuffer(r[i + 1], dtype=np.float32))
+        out.setdefault(r[0], [view(1), view(3)])
+    return out
+
+
+def ask_corpus(documents: DataFrame, clean: DataFrame, seed: int) -> Ask:
+    """Pseudo-labels among all unlabelled documents: every one is scored, in place."""
+    body = documents.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").join(clean.select("doc_id"), "doc_id", "left_anti")
+
+    def ask(weights, quota, confident, given):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, views in _slices(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(_sigmoid(views[v].dot(weights[v]))) for v in (0, 1)]], names=["doc_id", "p0", "p1"])
+            release()
+
+        scored = materialize(body.mapInArrow(run, "doc_id bigint, p0 double, p1 double").groupBy("doc_id").agg(F.avg("p0").alias("p0"), F.avg("p1").alias("p1")), "quality-pool")
+        picked = []
+        for v in (0, 1):
+            for label, most in ((1.0, quota[0]), (0.0, quota[1])):
+                sure = scored.where(F.col(f"p{v}") >= confident if label else F.col(f"p{v}") <= 1 - confident).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+                # ``given`` and ``quota`` are bounded by the labelled sample
+                drawn = [r[0] for r in sure.select("doc_id").limit(most + len(given[v])).collect()]
+                picked += [(v, i, label) for i in [i for i in drawn if i not in given[v]][:most]]
+        discard(scored)
+        views = _read(documents, sorted({i for _, i, _ in picked}))
+        return [[(i, views[i], label) for w, i, label in picked if w == v] for v in (0, 1)]
 
-    read = first.mapInArrow(run, "doc_id bigint, quality double, ci binary, cv binary, mi binary, mv binary").collect()
-    read.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[4])))
-    seen: dict[int, tuple] = {}
-    for r in read:
-        seen.setdefault(r[0], r)
-    views = {k: [(np.frombuffer(r[2], dtype=np.int32), np.frombuffer(r[3], dtype=np.float32)), (np.frombuffer(r[4], dtype=np.int32), np.frombuffer(r[5], dtype=np.float32))] for k, r in seen.items()}
-    labelled = [k for k, r in seen.items() if r[1] is not None]
-    return co_train([views[k] for k in labelled], np.array([1.0 if seen[k][1] >= 0.5 else 0.0 for k in labelled]), [views[k] for k, r in seen.items() if r[1] is None])
+    return ask
+
+
+def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = 5000, seed: int = 9, **options) -> Model:
+    """Fit on a bounded sample of the labels and on all unlabelled documents; see the module's description."""
+    clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    ids = documents.select("doc_id").where("doc_id is not null").distinct()
+    known = clean.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labelled)
+    quality = {r[0]: r[1] for r in known.collect()}  # at most most_labelled
+    views = _read(documents, sorted(quality))
+    return co_train(list(views.values()), np.array([1.0 if quality[k] >= 0.5 else 0.0 for k in views]), ask_corpus(documents, clean, seed), **options)
 
 
 def classify(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``documents`` with quality_score (0 to 1) and quality_keep."""
-    from pyspark.sql import types as T
-
     body = documents.drop("quality_score", "quality_keep")
-    names = ("text", "lang", "source", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in names]
-            scores = np.array([model.score(features(*(c[i].as_py() for c in columns))) for i in range(batch.num_rows)], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= least)], names=[*batch.schema.names, "quality_score", "quality_keep"])
+            for lo, hi, views in _slices(batch):
+                scores = model.scores(views)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(scores), pa.array(scores >= least)], names=[*batch.schema.names, "quality_score", "quality_keep"])
         release()
 
     return body.mapInArrow(run, T.StructType([*body.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_keep", T.BooleanType())]))
