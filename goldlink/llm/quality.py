@@ -313,7 +313,8 @@ def _read(documents: DataFrame, wanted: list[int]) -> dict[int, list]:
 
 def ask_corpus(documents: DataFrame, clean: DataFrame, seed: int) -> Ask:
     """Pseudo-labels among all unlabelled documents: every one is scored, in place."""
-    body = documents.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").join(clean.select("doc_id"), "doc_id", "left_anti")
+    # labelled documents are scored too and then set aside, so that texts stay where they are
+    body = documents.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
 
     def ask(weights, quota, confident, given):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +323,8 @@ def ask_corpus(documents: DataFrame, clean: DataFrame, seed: int) -> Ask:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(_sigmoid(views[v].dot(weights[v]))) for v in (0, 1)]], names=["doc_id", "p0", "p1"])
             release()
 
-        scored = materialize(body.mapInArrow(run, "doc_id bigint, p0 double, p1 double").groupBy("doc_id").agg(F.avg("p0").alias("p0"), F.avg("p1").alias("p1")), "quality-pool")
+        scored = body.mapInArrow(run, "doc_id bigint, p0 double, p1 double").join(clean.select("doc_id"), "doc_id", "left_anti")
+        scored = materialize(scored.groupBy("doc_id").agg(F.avg("p0").alias("p0"), F.avg("p1").alias("p1")), "quality-pool")
         picked = []
         for v in (0, 1):
             for label, most in ((1.0, quota[0]), (0.0, quota[1])):
