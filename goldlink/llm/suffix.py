@@ -58,7 +58,7 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     """
     n = len(data)
     place = np.arange(n, dtype=U64)
-    wide, mask = U64(2 * PLACE), U64((1 << PLACE) - 1)
+    mask = U64((1 << PLACE) - 1)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     rank = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(U64) >> U64(24)
     depth = min(5, length)
@@ -70,18 +70,21 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         at = (key & mask).astype(np.int64)
         value = key >> U64(PLACE)
         again = np.zeros(len(key), dtype=bool)
-        again[1:] = value[1:] == value[:-1]
+        np.equal(value[1:], value[:-1], out=again[1:])
         if depth == length:
             break
-        rank = np.empty(n, dtype=U64)
-        rank[at] = np.cumsum(~again).astype(U64)
+        ranks = np.zeros(2 * n, dtype=np.uint32)  # 0 behind the end of the text
+        ranks[at] = np.cumsum(~again, dtype=np.uint32)
         step = min(depth, length - depth)  # the last step overlaps, so that ranks cover ``length`` bytes exactly
-        behind = np.zeros(n, dtype=U64)  # 0: the text ends
-        behind[: n - step] = rank[step:]
         depth += step
-        key = rank << wide | behind << U64(PLACE) | place
         if depth == length:
-            key = key[starts]
+            key, behind, place = ranks[starts].astype(U64), ranks[starts + step], starts.astype(U64)
+        else:
+            key, behind = ranks[:n].astype(U64), ranks[step : n + step]
+        key <<= U64(PLACE)
+        key |= behind
+        key <<= U64(PLACE)
+        key |= place
     order = np.searchsorted(starts, at) if len(starts) < n else at
     return order, again
 
@@ -94,6 +97,7 @@ class LogSuffixIndex:
         padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
         self.lanes = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded, strides=(1,))
         self.strings = np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 1, length), strides=(1, 1))
+        self.word = np.uint32 if length % 4 == 0 else np.uint8
         self.levels: list[np.ndarray] = []
 
     def add(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -136,14 +140,13 @@ class LogSuffixIndex:
             after = []
             for part in np.array_split(row, max(1, len(row) >> 16)):
                 a, b = self.strings[level[low[part]]], self.strings[fresh[part]]
-                differ = a != b
-                first = differ.argmax(axis=1)
-                one = np.arange(len(part))
-                same = ~differ[one, first]
+                same = (a.view(self.word) == b.view(self.word)).all(axis=1)
                 equal[part[same]] = True
-                less = ~same & (a[one, first] < b[one, first])
-                low[part[less]] += 1
-                after.append(part[less])
+                a, b, part = a[~same], b[~same], part[~same]
+                first, one = (a != b).argmax(axis=1), np.arange(len(part))
+                less = part[a[one, first] < b[one, first]]
+                low[less] += 1
+                after.append(less)
             row = np.concatenate(after)
             row = row[low[row] < high[row]]
         return low, equal
@@ -210,7 +213,7 @@ _MESSAGE = "part bigint, kind int, blob binary"
 def _answers(documents: DataFrame, length: int, part_bytes: int, batch_bytes: int, flush_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Documents with their document part, and messages (document part, blob) of removed strings."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(64, math.ceil(total / part_bytes))
+    parts = max(8, math.ceil(total / part_bytes))
     uid = F.xxhash64("doc_id", "text")
     base = documents.withColumn("uid", uid).withColumn("part", F.pmod(F.col("uid"), F.lit(parts)))
     texts = base.select("part", "uid", "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest"))
@@ -343,12 +346,12 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_bytes: in
             release()
             if not tables:
                 continue
-            table = np.concatenate(tables)
-            begin = np.r_[0, np.cumsum(table[:, 3] + length - 1)][:-1]
-            data = np.concatenate(texts_)
-            order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
-            data = data[ranges(begin[order], begin[order] + table[order, 3] + length - 1)]  # in document order
-            begin = np.r_[0, np.cumsum(table[order, 3] + length - 1)]
+            table, data = np.concatenate(tables), np.concatenate(texts_)
+            tables, texts_, blobs, order = [], [], [], np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
+            size = table[:, 3] + length - 1
+            begin = (np.cumsum(size) - size)[order]
+            data = np.concatenate([data[a:b] for a, b in zip(begin.tolist(), (begin + size[order]).tolist(), strict=True)])  # in document order
+            begin = np.r_[0, np.cumsum(size[order])]
             family = LogSuffixIndex(data, length)
             lo = 0
             while lo < len(order):
@@ -367,12 +370,11 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_bytes: in
 
     found = texts.select("uid", "text").mapInArrow(minimizers, _MESSAGE)
     # partitions from the input's size, so that tasks do not grow with it
-    tasks = max(48, math.ceil(parts / 8))
-    texts = texts.repartition(tasks, "part")
-    places = found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(recurring, _MESSAGE)
-    sent = texts.groupBy("part").cogroup(places.repartition(tasks, "part").groupBy("part")).applyInArrow(stretches, _MESSAGE)
-    answers = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(index, _MESSAGE)
-    return texts, answers.repartition(tasks, "part")
+    texts = texts.repartition(parts, "part")
+    places = found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(recurring, _MESSAGE)
+    sent = texts.groupBy("part").cogroup(places.repartition(parts, "part").groupBy("part")).applyInArrow(stretches, _MESSAGE)
+    answers = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(index, _MESSAGE)
+    return texts, answers.repartition(parts, "part")
 
 
 def _pack_answers(owner: np.ndarray, start: np.ndarray, size: np.ndarray, flags: np.ndarray) -> bytes:
@@ -418,7 +420,7 @@ def _removal(documents: DataFrame, length: int, part_bytes: int, batch_bytes: in
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(apply, schema)
 
 
-def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 4 << 20, batch_bytes: int = 1 << 19) -> DataFrame:
     """The rows of ``documents`` with what is left of their texts, and n_bytes, n_removed and spans (replacing such columns).
 
     Text is cut at character boundaries: a character goes only if all its bytes are covered. ``spans`` lists the covered
@@ -440,7 +442,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, part_bytes: int = 6
     return out.select(*kept, *made)
 
 
-def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 6 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
+def op3_suffix(documents: DataFrame, length: int = 100, part_bytes: int = 4 << 20, batch_bytes: int = 1 << 19) -> DataFrame:
     """Digests of what is left of every document when repeated strings of 100 bytes are removed."""
 
     def finish(data: np.ndarray, gone: np.ndarray | None):
