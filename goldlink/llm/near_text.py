@@ -365,13 +365,13 @@ def _deal_pairs(pairs: DataFrame, block: int) -> DataFrame:
 
 
 def _deal_rest(hubs: DataFrame, block: int) -> DataFrame:
-    """Groups for :func:`_verify` of what is left open in dense nodes: rows (path, cid, centre, n, label).
+    """Groups for :func:`_verify` of what is left open in dense nodes: rows (centre, cid, n, label).
 
     Dense nodes whose centres are connected form one set of members. Of a pair that is still open, one member at
     least is not connected to the centre: blocks of those, of bounded size, meet slices of all members.
     """
-    main = hubs.where("cid = centre").select("path", F.col("label").alias("main"))
-    member = materialize(hubs.join(main, "path").groupBy("main", "cid").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-members")
+    main = hubs.where("cid = centre").select("centre", F.col("label").alias("main")).distinct()
+    member = materialize(hubs.join(main, "centre").groupBy("main", "cid").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-members")
     aside = F.col("label") != F.col("main")
     sums = member.groupBy("main").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(aside, 1)).alias("rest"), F.sum(F.when(aside, F.col("n"))).alias("size")).where("rest > 0")
     # a block holds about ``block`` sets and 4,096 shingles for each place in it
@@ -412,7 +412,9 @@ def _components(documents: DataFrame, id_column: str, text: str, shingle_words:
             judged = judged.withColumn("dense", F.lit(True))
         marked = materialize(_agreement(rows.join(materialize(judged, "near-judged"), "path")), "near-marked")
         hub = marked.where("dense").groupBy("path").agg(F.max_by("cid", F.struct("agree", -F.col("cid"))).alias("centre"))
-        hubs.append(materialize(marked.where("dense").join(hub, "path"), "near-hubs"))
+        # nodes with one centre are one set of members: each member meets it once, however many nodes they share
+        mine = marked.where("dense").join(hub, "path").groupBy("centre", "cid").agg(F.first("n").alias("n"), F.max("agree").alias("agree"))
+        hubs.append(materialize(mine, "near-hubs"))
         level = materialize(_deeper(marked.where("not dense"), rate), "near-nodes")
         spent += [rows, marked]
     spent.append(level)
@@ -438,7 +440,7 @@ def _components(documents: DataFrame, id_column: str, text: str, shingle_words:
     if not more.isEmpty():
         links.append(_verify(_deal_pairs(more, block), texts, shingle_words, percent))
     if hubs:
-        rest = materialize(_deal_rest(labelled(_all([h.select("path", "cid", "n", "centre") for h in hubs])), block), "near-dealt")
+        rest = materialize(_deal_rest(labelled(_all([h.select("centre", "cid", "n") for h in hubs])), block), "near-dealt")
         if not rest.isEmpty():
             links.append(_verify(rest, texts, shingle_words, percent))
     if len(links) > 1:
