@@ -13,8 +13,9 @@
 4. Verification is of pairs, on whole texts. First every class meets the one partner that promises most (in a group of
    near copies usually the text they derive from): one comparison a member. What is confirmed is connected;
    every other pair that met in a node with like sketches and is not connected yet is then compared too, so no
-   link is lost. The pairs of one text are dealt out in groups of ``block`` and stream past it. In dense nodes, where pairs are
-   too many to list, blocks of the members that are not connected to the centre meet slices of all members.
+   link is lost. The pairs of one text are dealt out in groups of ``block`` and stream past it. Where pairs are too many to
+   list (dense nodes, and small ones with more than ``LISTED`` open pairs a member), blocks of the members that are not
+   connected to the rest meet slices of all members.
 
 Nothing is capped: every class stays in every node that its tokens select. Recall at exact similarity 0.8 is
 1 - 0.3748**trees for two levels at rate 0.6 (0.99999 for 12 trees), and rises with similarity; in nodes that
@@ -43,6 +44,8 @@ from goldlink.plans.scratch import discard, materialize
 POSITIONS = 64
 #: Members of a large node whose sketches tell whether it is dense.
 SAMPLE = 64
+#: Open pairs for each member of a small node up to which pairs are listed; beyond, blocks of members are compared.
+LISTED = 2
 
 
 def _salts() -> np.ndarray:
@@ -231,19 +234,38 @@ def _meet(nodes: DataFrame, least: int, ratio: float) -> DataFrame:
     return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, _MET)
 
 
+_OPEN = "main bigint, a bigint, b bigint, n bigint, label bigint"
+
+
 def _open_pairs(nodes: DataFrame, least: int, ratio: float) -> DataFrame:
-    """a, b: the similar pairs within small nodes whose members have different labels."""
+    """What is left open in small nodes, at most ``LISTED`` rows for each member of a node.
+
+    Where few similar pairs have different labels: these pairs (a, b). Where many have: the node's members as rows
+    (main, a, n, label), ``main`` being the smallest label in the node; blocks of them are compared without listing pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_nodes(batches):
             node, label = _Node(table), table.column("label").to_numpy()
-            a, b, _ = _all_pairs(node, runs(node.path), least, ratio)
+            cuts = runs(node.path)
+            a, b, _ = _all_pairs(node, cuts, least, ratio)
             apart = label[a] != label[b]
-            a, b = node.cid[a[apart]], node.cid[b[apart]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b = a[apart], b[apart]
+            sizes = np.diff(cuts)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            crowded = np.bincount(of[a], minlength=len(sizes)) > LISTED * sizes
+            rows = np.flatnonzero(crowded[of])
+            a, b = (node.cid[x[~crowded[of[a]]]] for x in (a, b))
+            none = lambda m: pa.nulls(m, pa.int64())
+            main = np.repeat(np.minimum.reduceat(label, cuts[:-1]), sizes)
+            for columns in (
+                [none(len(a)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(len(a)), none(len(a))],
+                [pa.array(main[rows]), pa.array(node.cid[rows]), none(len(rows)), pa.array(node.n[rows]), pa.array(label[rows])],
+            ):
+                yield pa.RecordBatch.from_arrays(columns, names=["main", "a", "b", "n", "label"])
             release()
 
-    return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a bigint, b bigint")
+    return nodes.repartition("path").sortWithinPartitions("path").mapInArrow(run, _OPEN)
 
 
 def _judge(samples: DataFrame, least: int, ratio: float) -> DataFrame:
@@ -364,14 +386,19 @@ def _deal_pairs(pairs: DataFrame, block: int) -> DataFrame:
     return heads.union(placed.select("g", F.lit(1).alias("role"), F.col("b").alias("cid"))).withColumn("label", F.col("cid"))
 
 
-def _deal_rest(hubs: DataFrame, block: int) -> DataFrame:
-    """Groups for :func:`_verify` of what is left open in dense nodes: rows (centre, cid, n, label).
+def _of_hubs(hubs: DataFrame) -> DataFrame:
+    """Members (main, cid, n, label) of dense nodes, rows (centre, cid, n, label); ``main`` is the label of the centre."""
+    main = hubs.where("cid = centre").select("centre", F.col("label").alias("main")).distinct()
+    return hubs.join(main, "centre").select("main", "cid", "n", "label")
+
 
-    Dense nodes whose centres are connected form one set of members. Of a pair that is still open, one member at
-    least is not connected to the centre: blocks of those, of bounded size, meet slices of all members.
+def _deal_rest(members: DataFrame, block: int) -> DataFrame:
+    """Groups for :func:`_verify` of what is left open in nodes with many open pairs: rows (main, cid, n, label).
+
+    Nodes of one ``main`` label form one set of members. Of a pair that is still open, one member at
+    least has another label: blocks of those, of bounded size, meet slices of all members.
     """
-    main = hubs.where("cid = centre").select("centre", F.col("label").alias("main")).distinct()
-    member = materialize(hubs.join(main, "centre").groupBy("main", "cid").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-members")
+    member = materialize(members.groupBy("main", "cid").agg(F.first("n").alias("n"), F.first("label").alias("label")), "near-members")
     aside = F.col("label") != F.col("main")
     sums = member.groupBy("main").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(aside, 1)).alias("rest"), F.sum(F.when(aside, F.col("n"))).alias("size")).where("rest > 0")
     # a block holds about ``block`` sets and 4,096 shingles for each place in it
@@ -433,16 +460,18 @@ def _components(documents: DataFrame, id_column: str, text: str, shingle_words:
 
     known = materialize(labelled(_all([m.select("path", "cid") for m in met])), "near-known")
     still = known.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
-    more = _open_pairs(known.join(still, "path", "left_semi").join(sketches, "cid").select("path", "cid", "n", "sketch", "label"), least, ratio)
+    left = materialize(_open_pairs(known.join(still, "path", "left_semi").join(sketches, "cid").select("path", "cid", "n", "sketch", "label"), least, ratio), "near-open")
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    more = materialize(left.where("main is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
     links = [confirmed]
     if not more.isEmpty():
         links.append(_verify(_deal_pairs(more, block), texts, shingle_words, percent))
+    crowds = [left.where("main is not null").select("main", F.col("a").alias("cid"), "n", "label")]
     if hubs:
-        rest = materialize(_deal_rest(labelled(_all([h.select("centre", "cid", "n") for h in hubs])), block), "near-dealt")
-        if not rest.isEmpty():
-            links.append(_verify(rest, texts, shingle_words, percent))
+        crowds.append(_of_hubs(labelled(_all([h.select("centre", "cid", "n") for h in hubs]))))
+    rest = materialize(_deal_rest(_all(crowds), block), "near-dealt")
+    if not rest.isEmpty():
+        links.append(_verify(rest, texts, shingle_words, percent))
     if len(links) > 1:
         final = connected_components(_all(links), "a", "b")
     for table in [*spent, *met, *hubs, known, texts]:

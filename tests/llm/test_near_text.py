@@ -114,3 +114,13 @@ def test_shingles_of_few_words():
     assert (shingle_set("A\tb  c", 2) == shingle_set("a b\nC", 2)).all()
     texts = ["one two three", None, "", "x " * 50 + "y" * 70, "a b", " lead trail "]
     assert all((a == shingle_set(t, 2)).all() for a, t in zip(shingle_sets(texts, 2, at_once=16), texts))
+
+
+def test_crowded_small_nodes_are_compared_by_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120)]
+    data = [(i, edited(base, rng, 0.07)) for i in range(60)] + [(100 + i, edited(base, rng, 0.02)) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    for listed in (0, 1000):
+        monkeypatch.setattr(near_text, "LISTED", listed)
+        check(df, 2, block=10)
