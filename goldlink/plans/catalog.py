@@ -15,10 +15,11 @@ from goldlink.operators.resolve import match_keys, resolve_entities, star_edges
 from goldlink.operators.score import score
 from goldlink.operators.validate import validate
 from goldlink.plans import oracles as o
+from goldlink.plans import scratch
 from goldlink.plans.candidates import candidates, raw_candidates
 from goldlink.plans.policy import ProjectionConfig
 from goldlink.plans.scratch import materialize
-from goldlink.sources import registry
+from goldlink.sources import registry, sink
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -107,21 +108,23 @@ def resume_sections(spark, sf_dir):
 # --- sources --------------------------------------------------------------------------------------
 
 
-def _written(df: DataFrame, suffix: str) -> list[str]:
-    """One text file of the rows' ``line``, in order, in the shared folder."""
-    spark = df.sparkSession
-    from goldlink.plans.scratch import shared_dir
-    import uuid
+def _written(files: dict[str, DataFrame]) -> list[str]:
+    """A text file of each name, with the rows' ``line`` in order of ``i``, in one new shared folder."""
+    spark = next(iter(files.values())).sparkSession
+    jvm, target = spark._jvm, scratch.folder(spark, "source")
+    for name, rows in files.items():
+        parts = scratch.folder(spark, "source-parts")
+        rows.coalesce(1).sortWithinPartitions("i").select("line").write.text(parts)
+        path = jvm.org.apache.hadoop.fs.Path(parts)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        part = [x.getPath() for x in store.listStatus(path) if x.getPath().getName().startswith("part-")][0]
+        store.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
+        store.rename(part, jvm.org.apache.hadoop.fs.Path(target, name))
+    return registry.discover(spark, target)
 
-    folder = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
-    df.coalesce(1).sortWithinPartitions("i").select("line").write.text(folder)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = [s.getPath() for s in store.listStatus(path) if s.getPath().getName().startswith("part-")][0]
-    target = jvm.org.apache.hadoop.fs.Path(folder, f"source{suffix}")
-    store.rename(part, target)
-    return registry.discover(spark, folder)
+
+def _line(spark: SparkSession, i: int, text: str) -> DataFrame:
+    return spark.range(1).selectExpr(f"CAST({i} AS BIGINT) AS i", f"'{text}' AS line")
 
 
 @query("SELECT c_custkey AS position, nullif('N' || c_custkey, 'N') AS full_name, CASE WHEN c_custkey % 5 > 0 THEN 'e' || c_custkey || '@mail.example' ELSE '' END AS email, CASE WHEN c_custkey % 2 = 0 THEN 'says \"hi\", ok' ELSE c_mktsegment END AS company, 'a|b c' AS skills FROM customer WHERE c_custkey > 0")
@@ -132,7 +135,7 @@ def csv_scan(spark, sf_dir):
         "concat('N', CAST(c_custkey AS STRING), ',', CASE WHEN c_custkey % 5 > 0 THEN concat(' e', CAST(c_custkey AS STRING), '@mail.example') ELSE '' END, ',', CASE WHEN c_custkey % 2 = 0 THEN '\"says \"\"hi\"\", ok\"' ELSE c_mktsegment END, ',x,\"a, b c,\"') AS line",
     )
     head = spark.sql("SELECT CAST(-1 AS BIGINT) AS i, 'Full Name, E-MAIL ,Employer,unknown,Skills' AS line")
-    records, _ = registry.extract(spark, _written(head.unionByName(rows), ".csv"))
+    records, _ = registry.extract(spark, _written({"source.csv": head.unionByName(rows)}))
     key = F.regexp_extract("full_name", r"(\d+)", 1).cast("long")
     return records.select(key.alias("position"), "full_name", F.array_join("emails", "|").alias("email"), F.col("current_company").alias("company"), F.array_join("skills", "|").alias("skills"))
 
@@ -152,7 +155,7 @@ def json_scan(spark, sf_dir):
     """Fallback chains and polymorphic members of an array of objects."""
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS i", f"concat(',', {JSON_LINE}) AS line")
     ends = spark.sql("SELECT CAST(-1 AS BIGINT) AS i, '[7' AS line UNION ALL SELECT 9223372036854775807, ']'")
-    records, _ = registry.extract(spark, _written(ends.unionByName(rows), ".json"))
+    records, _ = registry.extract(spark, _written({"source.json": ends.unionByName(rows)}))
     line = lambda c, *names: F.array_join(F.transform(c, lambda e: F.concat_ws("/", *[e[n] for n in names])), "|")
     return records.select(
         F.regexp_extract("full_name", r"(\d+)", 1).cast("long").alias("k"), "full_name", *[F.array_join(c, "|").alias(c) for c in ("emails", "phones", "skills")], "location",
@@ -160,6 +163,42 @@ def json_scan(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT 1 - c_custkey % 2 AS file, position, full_name, email FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS position, "
+    "CASE WHEN c_custkey % 5 > 0 THEN 'N' || c_custkey END AS full_name, CASE WHEN c_custkey % 3 > 0 THEN 'e' || c_custkey || '@mail.example' ELSE '' END AS email FROM customer) WHERE full_name IS NOT NULL OR email <> ''"
+)
+def csv_files(spark, sf_dir):
+    """Files of different headers in order of their paths; rows with neither name nor e-mail go, but count as places."""
+    rows = _table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS i", "CASE WHEN c_custkey % 5 > 0 THEN concat('N', CAST(c_custkey AS STRING)) ELSE ' ' END AS name", "CASE WHEN c_custkey % 3 > 0 THEN concat('e', CAST(c_custkey AS STRING), '@mail.example') ELSE '' END AS email"
+    )
+    odd = rows.where("i % 2 = 1").selectExpr("i", "concat(email, ',Analyst,', name) AS line")
+    even = rows.where("i % 2 = 0").selectExpr("i", "concat(name, ',', email, ',Analyst') AS line")
+    paths = _written({"b.csv": _line(spark, -1, "name,email,title").unionByName(even), "a.csv": _line(spark, -1, "Email,Title,Full Name").unionByName(odd)})
+    records, _ = registry.extract(spark, paths)
+    place = F.shiftright("record_id", registry.FILE_BITS)
+    return records.select(place.alias("file"), "position", "full_name", F.array_join("emails", "|").alias("email"))
+
+
+@query(
+    "SELECT CASE c_custkey % 3 WHEN 0 THEN 'a.json' ELSE 'c.csv' END AS file, 'N' || c_custkey AS full_name, 'e' || c_custkey || '@mail.example' AS email, FALSE AS failed FROM customer WHERE c_custkey % 3 <> 1 "
+    "UNION ALL SELECT 'b.json', NULL, NULL, TRUE"
+)
+def failed_sources(spark, sf_dir):
+    """A file that breaks off gives no records and is reported; the others are read. Of repeated members the last counts."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS i", "CAST(c_custkey AS STRING) AS k")
+    good = rows.where("i % 3 = 0").selectExpr("i", """concat(',{"name":"N', k, '","email":"first@mail.example","email":"e', k, '@mail.example"}') AS line""")
+    cut = rows.where("i % 3 = 1").selectExpr("i", """concat(',{"name":"N', k, '"}') AS line""")
+    flat = rows.where("i % 3 = 2").selectExpr("i", "concat('N', k, ',e', k, '@mail.example') AS line")
+    whole = _line(spark, -1, "[7").unionByName(good).unionByName(_line(spark, 2**63 - 1, "]"))
+    paths = _written({"a.json": whole, "b.json": _line(spark, -1, "[7").unionByName(cut), "c.csv": _line(spark, -1, "name,email").unionByName(flat)})
+    records, failed = registry.extract(spark, paths)
+    name = F.regexp_extract("source_path", "([^/]+)$", 1).alias("file")
+    none = F.lit(None).cast("string")
+    lost = spark.createDataFrame([(p,) for p in failed], "source_path string").select(name, none.alias("full_name"), none.alias("email"), F.lit(True).alias("failed"))
+    return records.select(name, "full_name", F.array_join("emails", "|").alias("email"), F.lit(False).alias("failed")).unionByName(lost)
+
+
 # --- standardizers --------------------------------------------------------------------------------
 
 
@@ -328,3 +367,58 @@ def validate_issues(spark, sf_dir):
     # explode_outer: from a plain explode the optimizer infers a filter, which repeats the whole expression of the issues
     rows = validate(done, _config("null")).select("cluster_id", F.explode_outer("issues").alias("x")).where("x is not null")
     return rows.select("cluster_id", "x.field", "x.severity", "x.message")
+
+
+_CONTRIBUTIONS = """
+given AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS cnt, min(lower(trim(full_name))) OVER (PARTITION BY cluster_id) = max(lower(trim(full_name))) OVER (PARTITION BY cluster_id) AS alike FROM m WHERE trim(full_name) <> ''),
+won AS (SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY w DESC, CASE WHEN alike THEN 0 ELSE length(full_name) END DESC, record_id) = 1)
+SELECT cluster_id, 'full_name' AS field, source_type, source_path, full_name AS original_value, CASE WHEN cnt = 1 THEN 'direct' WHEN alike THEN 'agreement' ELSE 'trust_weight' END AS method FROM won
+UNION ALL SELECT cluster_id, 'emails', source_type, source_path, email, 'union' FROM m WHERE email <> ''"""
+
+
+@query(o.with_(o.FLAT, o.KEYS, o.CLUSTERS, _CONTRIBUTIONS))
+def project_provenance(spark, sf_dir):
+    """Which record gave a name, and which gave e-mail addresses, read back from the output."""
+    fields = [{"source_field": f, "output_field": f, "include_provenance": "yes"} for f in ("full_name", "emails")]
+    done, _ = project(_scored(spark, sf_dir), ProjectionConfig.of({"fields": fields, "include_metadata": False, "ignored": 1}))
+    source = "struct<provenance:array<struct<field:string,source_type:string,source_path:string,original_value:{},method:string>>>"
+    read = F.from_json("output", f"full_name {source.format('string')}, emails {source.format('array<string>')}")
+    parts = [
+        done.select("cluster_id", F.explode_outer(read[f]["provenance"]).alias("e")).where("e is not null").select("cluster_id", "e.field", "e.source_type", "e.source_path", value.alias("original_value"), "e.method")
+        for f, value in (("full_name", F.col("e.original_value")), ("emails", F.array_join("e.original_value", "|")))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_REPORTS = """ SELECT cluster_id, cluster_id % 4 <> 1 AS is_valid, CASE WHEN n > 0 THEN cluster_id % 4 <> 1 END AS reported,
+  CASE WHEN n > 0 THEN (cluster_id % 4 = 1)::INT END AS errors, CASE WHEN n > 0 THEN n - (cluster_id % 4 = 1)::INT END AS warnings, concat_ws('|',
+  CASE WHEN cluster_id % 3 = 0 THEN 'phone_list.confidence/warning/Confidence -0.5 is outside [0.0, 1.0] range.|phone_list[0]/warning/Phone ' || chr(39) || 'bad' || cluster_id || chr(39) || ' is not in E.164 format.' END,
+  CASE cluster_id % 4 WHEN 0 THEN 'overall_confidence/warning/Confidence 1.5 is outside [0.0, 1.0] range.' WHEN 1 THEN 'overall_confidence/error/Confidence must be a number, got null.' END) AS issues
+FROM (SELECT cluster_id, 2 * (cluster_id % 3 = 0)::INT + (cluster_id % 4 < 2)::INT AS n FROM (SELECT DISTINCT cluster_id FROM cl))"""
+
+
+@query(o.with_(o.FLAT, o.KEYS, o.CLUSTERS) + _REPORTS)
+def validate_reports(spark, sf_dir):
+    """Confidences that are missing or out of range and phone numbers in a bad format, read back from the report in the output."""
+    third, quarter = F.col("cluster_id") % 3 == 0, F.col("cluster_id") % 4
+    bad = F.array(F.concat(F.lit("bad"), F.col("cluster_id").cast("string")))
+    phones = F.col("phones").withField("value", F.when(third, bad).otherwise(F.col("phones.value"))).withField("confidence", F.when(third, -0.5).otherwise(F.col("phones.confidence")))
+    overall = F.when(quarter == 0, 1.5).when(quarter > 1, F.col("overall_confidence"))
+    spoilt = materialize(_scored(spark, sf_dir).withColumn("phones", phones).withColumn("overall_confidence", overall), "spoilt")
+    config = ProjectionConfig.of({"fields": [{"source_field": "full_name", "output_field": "name"}, {"source_field": "phones", "output_field": "phone_list", "include_confidence": True}], "include_metadata": False})
+    done, _ = project(spoilt, config)
+    kind = "_validation struct<is_valid:boolean,error_count:int,warning_count:int,issues:array<struct<field:string,severity:string,message:string>>>"
+    rows = validate(done, config).select("cluster_id", "is_valid", F.from_json("output", kind)["_validation"].alias("r"))
+    issues = F.array_join(F.transform("r.issues", lambda x: F.concat_ws("/", x["field"], x["severity"], x["message"])), "|")
+    return rows.select("cluster_id", "is_valid", F.col("r.is_valid").alias("reported"), F.col("r.error_count").alias("errors"), F.col("r.warning_count").alias("warnings"), F.coalesce(issues, F.lit("")).alias("issues"))
+
+
+@query(o.scored("SELECT full_name AS name, coalesce(emails, '') AS emails, overall_confidence FROM scored"))
+def sink_lines(spark, sf_dir):
+    """JSON lines as written by the sink and read again."""
+    config = ProjectionConfig.of({"fields": [{"source_field": "full_name", "output_field": "name"}, {"source_field": "emails", "output_field": "emails"}], "include_metadata": False})
+    done, _ = project(_scored(spark, sf_dir), config)
+    path = scratch.folder(spark, "sink-lines")
+    sink.write_lines(done, path)
+    lines = spark.read.schema("name string, emails array<string>, overall_confidence double").json(path)
+    return lines.select("name", F.coalesce(F.array_join("emails", "|"), F.lit("")).alias("emails"), "overall_confidence")

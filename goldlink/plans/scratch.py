@@ -32,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints", "goldlink")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder in the shared one, deleted like the tables."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _LIVE[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _LIVE[path] = spark
+    path = folder(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
