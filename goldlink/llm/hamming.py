@@ -4,7 +4,8 @@ Codes are cut into segments of about log2(rows) bits, so that a value of a segme
 of them cannot all differ in more than r bits, so probing every value within r bits of the query's segment, in each segment's
 table, finds every such code. Rounds grow r by one: a query probes only the values at exactly r bits, verifies the
 full distance of what it meets, keeps its k best, and is finished once its k-th verified distance is covered,
-that is at most m * (r + 1) - 1. Nothing else ends a query, so results are exact.
+that is at most m * (r + 1) - 1. Nothing else ends a query, so results are exact. In a round only as many segments
+are probed as its k-th distance so far needs: segments 0 to a at r and the rest at r - 1 cover m * r + a.
 
 Equal codes form one entry with the k smallest ids of its rows, so a code that a third of all rows share is one
 row of a table; ties of distance go to the smaller id.
@@ -91,6 +92,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "i
         if open_queries.isEmpty():
             break
         probes = open_queries.select("query_id", "q", "kth", F.posexplode("q").alias("segment", "own"))
+        # a code missed with segments 0 to a at this radius, the others one below, is farther than m * radius + a: enough segments to cover the k-th
+        probes = probes.where(F.col("kth").isNull() | (F.col("segment") <= F.col("kth") - m * radius))
         probes = probes.select("query_id", "q", "kth", "segment", F.explode(F.split(F.lit(",".join(map(str, masks(radius, segment)))), ",").cast("array<int>")).alias("flip"), "own")
         probes = probes.select("query_id", "q", "kth", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         # no estimate before the explode can tell how many probes there are: few are broadcast, by number; many are merged
