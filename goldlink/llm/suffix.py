@@ -17,7 +17,8 @@ the 32-byte substrings in it, at a place that depends on its content only; equal
   2. Documents meet those places (co-grouped by document hash) and send the stretch of text under each such
      minimizer to the minimizer's part. Of equal stretches within a task (by 128-bit digests) only the earliest is sent,
      the others are removed at once: a passage or a document with thousands of copies is combined before it is shuffled.
-  3. Each part runs an index over its stretches, in document order, and returns which strings occur earlier.
+  3. Each part runs an index over its stretches, in document order, and returns which strings occur earlier. A stretch
+     that equals an earlier one, byte by byte, is answered at once; the index holds different stretches only.
   4. Documents meet the answers and drop the covered bytes.
 A part is sized by ``part_bytes`` of corpus; no step holds more than one part or one group of documents. Only the minimizers at
 the edges of a passage keep a stretch for each document that holds it, as what stands before or behind it differs.
@@ -184,6 +185,15 @@ def window_minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return (least & U64(0xFFFFFFFF)).astype(np.int64), hashes
 
 
+def different(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the stretches equal none before them, byte by byte, and the text of these."""
+    whole, met = data.tobytes(), {}
+    first = np.ones(len(begin), dtype=bool)
+    for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+        first[i] = met.setdefault(whole[a : a + n], i) == i
+    return first, np.frombuffer(b"".join(met), dtype=np.uint8)
+
+
 def _bytes_of(value) -> np.ndarray:
     text = value.as_py()
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -348,24 +358,28 @@ def _answers(documents: DataFrame, length: int, part_bytes: int, batch_bytes: in
                 continue
             table, data = np.concatenate(tables), np.concatenate(texts_)
             tables, texts_, blobs, order = [], [], [], np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
+            table = table[order]
             size = table[:, 3] + length - 1
-            begin = (np.cumsum(size) - size)[order]
-            data = np.concatenate([data[a:b] for a, b in zip(begin.tolist(), (begin + size[order]).tolist(), strict=True)])  # in document order
-            begin = np.r_[0, np.cumsum(size[order])]
+            begin = (np.cumsum(np.r_[0, size[np.argsort(order)]])[:-1])[order]
+            # in document order; all strings of a stretch that is equal to an earlier one occur earlier
+            first, data = different(data, begin, size)
+            copies, table, size = table[~first], table[first], size[first]
+            for part, r in _split(copies[:, 1] % parts):
+                yield _messages([(part, 3, _pack_answers(copies[r, 1], copies[r, 2], copies[r, 3], np.ones(int(copies[r, 3].sum()), dtype=bool)))])
+            begin = np.r_[0, np.cumsum(size)]
             family = LogSuffixIndex(data, length)
             lo = 0
-            while lo < len(order):
+            while lo < len(table):
                 hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + batch_bytes, side="right")) - 1)
-                rows = order[lo:hi]
-                sizes = table[rows, 3]
+                sizes = table[lo:hi, 3]
                 starts = ranges(begin[lo:hi], begin[lo:hi] + sizes)
                 again = family.add(starts, data[begin[lo] : begin[hi]], starts - begin[lo])
                 hit = np.add.reduceat(again, np.r_[0, np.cumsum(sizes)[:-1]]) > 0
                 if hit.any():
-                    own, keep = table[rows[hit], 1], again[np.repeat(hit, sizes)]
-                    places = np.r_[0, np.cumsum(sizes[hit])]
-                    for part, r in _split(own % parts):
-                        yield _messages([(part, 3, _pack_answers(own[r], table[rows[hit], 2][r], sizes[hit][r], keep[ranges(places[:-1][r], places[1:][r])]))])
+                    found_, keep = table[lo:hi][hit], again[np.repeat(hit, sizes)]
+                    places = np.r_[0, np.cumsum(found_[:, 3])]
+                    for part, r in _split(found_[:, 1] % parts):
+                        yield _messages([(part, 3, _pack_answers(found_[r, 1], found_[r, 2], found_[r, 3], keep[ranges(places[:-1][r], places[1:][r])]))])
                 lo = hi
 
     found = texts.select("uid", "text").mapInArrow(minimizers, _MESSAGE)

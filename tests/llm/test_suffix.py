@@ -87,3 +87,17 @@ def test_edge_rows_and_text_output(spark):
     out = {r["doc_id"]: r for r in rows(suffix.remove_repeats(two))}
     assert out[1]["text"] == text[:1] * 0 + out[1]["text"] and "�" not in out[2]["text"] and out[2]["text"] == "a"
     assert suffix.op3_suffix(docs.limit(0)).count() == 0
+
+
+def test_index_holds_different_stretches_only():
+    data = np.frombuffer(b"abcabcabxabc", dtype=np.uint8)
+    first, text = suffix.different(data, np.array([0, 9, 3, 6, 6]), np.array([3, 3, 3, 3, 2]))
+    assert first.tolist() == [True, False, False, True, True] and text.tobytes() == b"abcabxab"
+
+
+def test_equal_stretches_of_many_documents(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(90))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(30))) + passage[rng.randrange(40) :] + word()) for i in range(60)]
+    check(spark.createDataFrame(docs, "doc_id bigint, text string"), part_bytes=2000, batch_bytes=3000)
