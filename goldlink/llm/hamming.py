@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about log2(rows) bits, so that a value of a segment is held by few codes at any scale. If two codes differ in at most m * (r + 1) - 1 bits, m segments
+Codes are cut into segments of at most about log2(rows) bits, so that a value of a segment is held by few codes at any scale; of
+these widths the one with the least work in probes and codes met together is taken (:func:`cheapest_segment`). If two codes differ in at most m * (r + 1) - 1 bits, m segments
 of them cannot all differ in more than r bits, so probing every value within r bits of the query's segment, in each segment's
 table, finds every such code. Rounds grow r by one: a query probes only the values at exactly r bits, verifies the
 full distance of what it meets, keeps its k best, and is finished once its k-th verified distance is covered,
@@ -32,6 +33,8 @@ from goldlink.plans.scratch import materialize
 LEAST, MOST = 8, 24
 #: Probes that are few enough to be broadcast, by their counted number (about 50 bytes each).
 FEW_PROBES = 200_000
+#: A probe is exploded, shuffled and sorted; a code that it meets is compared in place. What a probe costs in such codes.
+PROBE_COST = 8
 
 
 def segment_bits(rows: int, bits: int) -> int:
@@ -40,6 +43,38 @@ def segment_bits(rows: int, bits: int) -> int:
     return math.ceil(bits / max(1, round(bits / width)))
 
 
+def expected_distance(rows: int, bits: int, k: int) -> int:
+    """The smallest distance within which k of so many random codes are expected."""
+    far, ring = 0, 1
+    within = ring
+    while far < bits and within * rows < k << bits:
+        ring = ring * (bits - far) // (far + 1)
+        far, within = far + 1, within + ring
+    return far
+
+
+def expected_work(rows: int, bits: int, segment: int, far: int) -> tuple[float, float]:
+    """Probes of one query whose k-th is ``far`` away, and random codes that they meet: all rounds below it, then what it needs."""
+    m = math.ceil(bits / segment)
+    rest = bits - (m - 1) * segment  # the last one may be narrow, and a value of it is held by many codes
+    radius, last = min(far // m, segment), far % m
+    probes = met = 0.0
+    for i in range(m):
+        width, upto = (rest if i == m - 1 else segment), (radius if i <= last else radius - 1)
+        probes += sum(math.comb(segment, r) for r in range(upto + 1))
+        met += sum(math.comb(width, r) for r in range(upto + 1)) * rows / 2**width
+    return probes, met
+
+
+def cheapest_segment(rows: int, bits: int, k: int) -> int:
+    """The width with the least expected work among those up to :func:`segment_bits`; of equals the widest."""
+    widest = segment_bits(rows, bits)
+    widths = sorted({math.ceil(bits / m) for m in range(math.ceil(bits / widest), bits + 1) if bits / m >= LEAST} | {widest}, reverse=True)
+    far = expected_distance(rows, bits, k)
+    work = {w: expected_work(rows, bits, w, far) for w in widths}
+    return min(widths, key=lambda w: PROBE_COST * work[w][0] + work[w][1])
+
+
 def sign_code(vector: str, bits: int, segment: int = 16) -> Column:
     """The signs of the first ``bits`` components (missing ones: 0) as array<int> of segments."""
     parts = []
@@ -125,7 +160,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "i
 def op10_hamming_top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
     """The ten nearest sign codes of every vector whose id is divisible by 100, over all vectors."""
     bits, rows = embeddings.where(usable("embedding")).agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
-    segment = segment_bits(rows, bits or 1)
+    segment = cheapest_segment(rows, bits or 1, k)
     coded = materialize(embeddings.select(F.col("vec_id").alias("id"), sign_code("embedding", bits or 1, segment).alias("code")), "mih-codes")
     return top_k(coded, coded.where(F.col("id") % 100 == 0), k, segment=segment).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 

@@ -53,3 +53,17 @@ def test_narrow_segments_many_components_and_uneven_lengths(spark):
     bits = [(i, [sum(1 << b for b, x in enumerate(v) if x > 0)]) for i, v in data if v and v[0] == v[0]]
     got = {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in rows(hamming.op10_hamming_top_k(vectors))}
     assert got == brute(bits, [c for c in bits if c[0] % 100 == 0], 10)
+
+
+def test_segments_weigh_probes_against_codes_met(spark):
+    far = hamming.expected_distance(51_282, 64, 10)
+    asked, met = hamming.expected_work(51_282, 64, hamming.cheapest_segment(51_282, 64, 10), far)
+    assert far == 18 and asked < 1000 and met < 20_000  # segments of log2(rows) bits ask 8,248 times
+    assert [hamming.expected_work(10, 4, 2, 4)[0], hamming.expected_distance(10, 4, 10), hamming.cheapest_segment(1, 1, 10)] == [7, 4, 1]
+    assert hamming.expected_work(1024, 64, 10, 0)[1] == 1 and hamming.expected_work(1024, 64, 10, 6)[1] == 6 + 64  # seven segments, the last of 4 bits
+    rng = random.Random(2)
+    data = [(i, [rng.uniform(-1, 1) for _ in range(40)]) for i in range(0, 6000, 4)]
+    assert hamming.cheapest_segment(len(data), 40, 10) < hamming.segment_bits(len(data), 40)
+    bits = [(i, [sum(1 << b for b, x in enumerate(v) if x > 0)]) for i, v in data]
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in rows(hamming.op10_hamming_top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")))}
+    assert got == brute(bits, [c for c in bits if c[0] % 100 == 0], 10)
