@@ -19,6 +19,7 @@ text of any length is processed whole; ill-formed bytes at decoding give U+FFFD
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
@@ -83,6 +84,12 @@ class Transducer:
         self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
         self.flush: list[tuple[int, ...] | None] = [()]
 
+    def forget(self) -> None:
+        """Drop the states, and what was found about tokens and pairs of them."""
+        for known in (*self.edges, self.pairs, self.alone):
+            known.clear()
+        self.reset()
+
     def merges(self, data: bytes) -> list[bytes]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -229,8 +236,8 @@ class Encoder:
         """Drop what was learnt from texts; the vocabulary stays."""
         self.pieces.old = {}
         self.pieces.clear()
-        self.transducer.pairs.clear()
-        self.transducer.reset()
+        self.transducer.forget()
+        gc.collect()  # idle workers would keep what hangs in cycles
         release()
 
     def encode(self, text: str) -> list[int]:

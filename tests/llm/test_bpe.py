@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import pytest
 import tiktoken
@@ -57,3 +58,17 @@ def test_query_and_columns(spark, tools):
     back = bpe.decode_column(bpe.encode_column(edge).drop("text"))
     assert sorted(r["text"] for r in rows(back)) == sorted(r["text"] or "" for r in rows(edge))
     assert bpe.op4_bpe(edge.limit(0)).count() == 0
+
+
+def test_an_encoder_keeps_nothing_of_a_task_but_the_vocabulary():
+    encoder, _ = bpe.codec(bpe.default_vocabulary(), bpe.default_pattern())
+    encoder.forget()
+    text = " ".join(chr(97 + i % 26) * (1 + i % 3) + str(i * 7919) + chr(97 + i % 17) + "tion" for i in range(4000))
+    tracemalloc.start()
+    before = encoder.encode(text)
+    learnt = tracemalloc.get_traced_memory()[0]
+    encoder.forget()
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert not any((*encoder.transducer.edges, encoder.transducer.pairs, encoder.transducer.alone, encoder.pieces, encoder.pieces.old))
+    assert left < 0.2 * learnt and encoder.encode(text) == before
